@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .ngram_join import ngram_jaccard_classes
+from .suffix_dedup import suffix_dedup_report
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +19,14 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_classes(_table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of 100-byte strings that occur earlier, over all documents."""
+    return suffix_dedup_report(_table(spark, sf_dir, "documents"), length=100)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op6_suffix_array_dedup": op6_suffix_array_dedup,
 }
 
 ORACLES: dict[str, str] = {}
