@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .ngram_join import ngram_jaccard_classes
+from .packing import pack_sequences
 from .suffix_dedup import suffix_dedup_report
 
 
@@ -19,6 +20,17 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_classes(_table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
 
+def _vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into windows of 4096 ids."""
+    return pack_sequences(_table(spark, sf_dir, "documents"), _vocabulary(), capacity=4096, eos=2)
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of 100-byte strings that occur earlier, over all documents."""
     return suffix_dedup_report(_table(spark, sf_dir, "documents"), length=100)
@@ -26,6 +38,7 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_packing": op3_packing,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
 }
 
