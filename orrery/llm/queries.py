@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .ngram_join import ngram_jaccard_classes
 from .packing import pack_sequences
+from .quality import repetition_quality
 from .suffix_dedup import suffix_dedup_report
 
 
@@ -36,10 +37,16 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup_report(_table(spark, sf_dir, "documents"), length=100)
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repetition measures and verdicts of all documents."""
+    return repetition_quality(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_packing": op3_packing,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
+    "op8_quality_rules": op8_quality_rules,
 }
 
 ORACLES: dict[str, str] = {}
