@@ -359,7 +359,7 @@ def _verify(num: int, den: int):
     return run
 
 
-def ngram_jaccard_classes(docs: DataFrame, *, width: int = 5, num: int = 80, den: int = 100, batch_bytes: int = 8 << 20, chunk_entries: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ngram_jaccard_classes(docs: DataFrame, *, width: int = 5, num: int = 80, den: int = 100, batch_bytes: int = 4 << 20, chunk_entries: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Near-duplicate classes of texts whose ``width``-word shingle sets have Jaccard >= num/den.
 
     Texts are A-Z lower-cased; words are ``[^\\x20\\x09-\\x0D]+``. A text of fewer
