@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import license_scan, url_filter, warc
 from .common import work_dir
 from .mixing import Mix, mix_schedule
+from .near_vectors import near_vectors
 from .ngram_join import ngram_jaccard_classes
 from .packing import pack_sequences
 from .quality import repetition_quality
@@ -36,6 +37,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_sequences(_table(spark, sf_dir, "documents"), _vocabulary(), capacity=4096, eos=2)
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at cosine >= 0.9."""
+    return near_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule or model verdict on every page's URL."""
     return url_filter.judge_urls(_table(spark, sf_dir, "pages"))
@@ -71,6 +77,7 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_packing": op3_packing,
+    "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_url_filters": op5_url_filters,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_warc": op7_warc,
