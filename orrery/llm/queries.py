@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import license_scan, url_filter, warc
 from .common import work_dir
 from .mixing import Mix, mix_schedule
+from .toxicity import toxicity_report
 from .near_vectors import near_vectors
 from .ngram_join import ngram_jaccard_classes
 from .packing import pack_sequences
@@ -21,6 +22,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from labels outside the held-out fold."""
+    return toxicity_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), most_rows=20_000)
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of 3-word shingle sets at Jaccard >= 0.9 over all documents."""
     return ngram_jaccard_classes(_table(spark, sf_dir, "documents"), width=3, num=90, den=100)
@@ -75,6 +81,7 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_packing": op3_packing,
     "op4_embedding_near_dedup": op4_embedding_near_dedup,
