@@ -11,6 +11,7 @@ block alone. All of it is DataFrame functions.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,11 +28,13 @@ BROADCAST_SOURCES = 20_000
 @dataclass(frozen=True)
 class Mix:
     """What to meet. ``entropy`` is a share of the largest possible, from 0 to 1; ``repeats`` is the most
-    passes over a source. ``budget`` is in words, None for as many as there are."""
+    passes over a source. ``budget`` is in words, None for as many as there are. With ``keep_all`` the budget is
+    the least that uses every document: the least repeated source gets one pass, and no document is lost."""
 
     entropy: float | None = None
     repeats: float | None = 2.0
     budget: int | None = None
+    keep_all: bool = False
     seed: str = "mix"
 
 
@@ -57,7 +60,7 @@ def exponent(shares: DataFrame, mix: Mix, budget_over_total: float) -> float:
         p = F.col("share")
         cells = []
         for k, a in enumerate(powers):
-            cells += [F.sum(F.pow(p, F.lit(a))).alias(f"z{k}"), F.sum(F.pow(p, F.lit(a)) * F.log(p)).alias(f"l{k}"), F.max(F.pow(p, F.lit(a - 1))).alias(f"r{k}")]
+            cells += [F.sum(F.pow(p, F.lit(a))).alias(f"z{k}"), F.sum(F.pow(p, F.lit(a)) * F.log(p)).alias(f"l{k}"), F.max(F.pow(p, F.lit(a - 1))).alias(f"r{k}"), F.min(F.pow(p, F.lit(a - 1))).alias(f"m{k}")]
         return shares.agg(F.count("*").alias("n"), *cells).first()
 
     def search(holds) -> float:
@@ -66,14 +69,12 @@ def exponent(shares: DataFrame, mix: Mix, budget_over_total: float) -> float:
         for _ in range(6):
             grid = [low + (high - low) * k / 32 for k in range(33)]
             row = sums(grid)
-            import math
-
             met = []
             for k, a in enumerate(grid):
                 z, log_sum, rep = row[f"z{k}"], row[f"l{k}"], row[f"r{k}"]
                 top = math.log(row["n"]) if row["n"] > 1 else 1.0
                 entropy = (math.log(z) - a * log_sum / z) / top
-                met.append(holds(entropy, rep / z * budget_over_total))
+                met.append(holds(entropy, rep / row[f"m{k}"] if mix.keep_all else rep / z * budget_over_total))
             if met[0]:
                 return grid[0]
             at = next((k for k in range(33) if met[k]), None)
@@ -98,11 +99,15 @@ def passes(narrow: DataFrame, mix: Mix) -> DataFrame:
     budget = total if mix.budget is None else mix.budget
     shares = keep(sizes.withColumn("share", F.col("size") / F.lit(float(total or 1))), "mix-shares")
     power = exponent(shares, mix, budget / total if total else 1.0)
-    z = shares.agg(F.sum(F.pow("share", F.lit(power)))).first()[0] or 1.0
+    z, least = shares.agg(F.sum(F.pow("share", F.lit(power))), F.min(F.pow("share", F.lit(power - 1)))).first()
+    z = z or 1.0
+    if mix.keep_all:
+        budget = total * z / (least or 1.0)
     goal = shares.select("source", "size", (F.pow("share", F.lit(power)) / F.lit(z)).alias("weight"))
-    goal = goal.withColumn("goal", F.floor(F.col("weight") * F.lit(float(budget))).cast("bigint"))
+    goal = goal.withColumn("goal", F.floor(F.col("weight") * F.lit(float(budget)) + 1e-3).cast("bigint"))
     goal = goal.select("source", "size", "weight", F.expr("goal div size").alias("whole"), F.expr("goal % size").alias("rest"))
     running = F.sum("tokens").over(Window.partitionBy("source").orderBy("block"))  # 4096 blocks a source at most
+    # Documents without words share keys with others; a source of nothing else has no size.
     ends = blocks.withColumn("after", running).join(goal, "source").where("after - tokens <= rest and rest < after")
     ends = ends.groupBy("source").agg(F.min_by(F.struct("block", (F.col("after") - F.col("tokens")).alias("before"), "weight", "whole", "rest", "size"), "block").alias("e")).select("source", "e.*")
     inside = narrow.join(ends.select("source", "block", "before", "rest"), ["source", "block"])

@@ -419,6 +419,13 @@ def _repeats(sets: DataFrame) -> bool:
 
 
 def keep_one_per_class(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The documents whose id is their class's component id, all columns as they were."""
-    kept = classes.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """One row of ``docs`` for each class, all its columns as they were.
+
+    It is the row whose id is the class's component id, one of them if rows repeat
+    that id. A row without an id was compared with nothing and stays.
+    """
+    kept = classes.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).select(F.col("doc_id").alias("__kept_id"), "n")
+    out = docs.join(kept.select("__kept_id"), docs["doc_id"] == F.col("__kept_id"), "left_semi")
+    if kept.where("n > 1").limit(1).count():
+        out = out.dropDuplicates(["doc_id"])
+    return out.unionByName(docs.where(docs["doc_id"].isNull()))
