@@ -69,7 +69,7 @@ def window_hashes(data: np.ndarray, width: int) -> np.ndarray:
     return mix((sums[width:] - sums[:-width]) * powers(_UNBASE, n))
 
 
-def words(data: np.ndarray, offs: np.ndarray, piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offs: np.ndarray, piece: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start, end, document) of each word, in order.
 
     Byte-level arrays are built for about ``piece`` bytes at a time, so a very

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import grams
-from .common import arrow_map, keep, shuffle_width, slabs, text_buffers
+from .common import arrow_map, keep, shuffle_width, slabs, small_batches, text_buffers
 from .components import components
 
 U = np.uint64
@@ -379,7 +379,8 @@ def ngram_jaccard_classes(docs: DataFrame, *, width: int = 5, num: int = 80, den
     texts = texts.where("doc_id is not null")
     sent = arrow_map(texts, _send(width, bits, batch_bytes), _WIRE).repartition(wide, "part")
     counted = arrow_map(sent, _count(bits), _WIRE).repartition(wide, "batch")
-    sets = keep(arrow_map(counted, _order(num, den, bits), _DOCS), "ngram-sets")
+    with small_batches(spark):
+        sets = keep(arrow_map(counted, _order(num, den, bits), _DOCS), "ngram-sets")
 
     full = sets.where("n > 0")
     classes = keep(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("cls"), F.min(F.expr("if(shared is not null, doc_id, null)")).alias("carrier")), "ngram-classes")

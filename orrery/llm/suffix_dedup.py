@@ -33,12 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import grams
-from .common import arrow_map, keep, shuffle_width, slabs, text_buffers
+from .common import arrow_map, keep, settle, shuffle_width, slabs, small_batches, text_buffers
 
 U = np.uint64
 GRAM = 32
 POS_BITS = 22
-SEGMENT = 1 << 21
+SEGMENT = 1 << 18
+LEVEL = 3  # of zstd, for texts on their way
 #: Context entries of one sample beyond which its suffixes are dealt out by window hash.
 HOT_CONTEXTS = 1024
 
@@ -60,7 +61,7 @@ def _bundle(batch_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         number = (task.partitionId() if task else 0) << 24
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=LEVEL)
         for rows in batches:
             ids = rows.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             data, offs = text_buffers(rows.column(1))
@@ -119,8 +120,8 @@ class _Batch:
         """Distinct samples: hashes, and the numbers of different contexts; keeps the runs."""
         h, pos, first, last, doc = cover(self.data, self.offs, self.length)
         ctx = np.empty(len(h), np.uint64)
-        for lo in range(0, len(h), 1 << 16):  # context hashes over about 2 MB at a time
-            a, b = first[lo : lo + (1 << 16)], last[lo : lo + (1 << 16)] + self.length
+        for lo in range(0, len(h), 1 << 13):  # context hashes over about 300 KB at a time
+            a, b = first[lo : lo + (1 << 13)], last[lo : lo + (1 << 13)] + self.length
             base = int(a.min())
             sums = grams.prefix_sums(self.data[base : int(b.max())])
             ctx[lo : lo + len(a)] = grams.slice_hashes(sums, a - base, b - base)
@@ -182,7 +183,7 @@ def _suffixes(length: int, bits: int):
     """Suffixes with repeated samples to their buckets; runs repeated inside the batch are settled here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=LEVEL)
         for rows in batches:
             for batch, ids, offs, body, answers in zip(*(c.to_pylist() for c in rows.columns)):
                 x = _Batch(ids, offs, body, length)
@@ -284,18 +285,37 @@ def _sort_buckets(length: int):
                 data = np.frombuffer(b"".join(open_.decompress(r[2]) for r in whole), np.uint8)
                 size = loc[:, 1]
                 at = np.cumsum(size) - size
-                order = np.lexsort((loc[:, 0], loc[:, 3], batch, loc[:, 2]))
-                hashes = grams.window_hashes(data, length)
-                count = size[order] - length + 1
-                run_of = np.repeat(np.arange(len(order)), count)
-                within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                dup = later(hashes[at[order][run_of] + within])
-                if dup.any():
-                    run_of, within = run_of[dup], within[dup]
-                    new = np.concatenate([[True], (run_of[1:] != run_of[:-1]) | (within[1:] != within[:-1] + 1)])
+                rank = np.empty(len(size), np.int32)
+                rank[np.lexsort((loc[:, 0], loc[:, 3], batch, loc[:, 2]))] = np.arange(len(size), dtype=np.int32)
+                windows = size - length + 1
+                w_at = np.cumsum(windows) - windows
+                hashes = np.empty(int(windows.sum()), np.uint64)
+                lo = 0
+                while lo < len(size):  # a bucket's text is hashed a few hundred KB at a time
+                    hi = max(lo + 1, int(np.searchsorted(at, at[lo] + SEGMENT)))
+                    n = windows[lo:hi]
+                    pos = np.repeat(at[lo:hi] - at[lo] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    sums = grams.prefix_sums(data[at[lo] : at[hi - 1] + size[hi - 1]])
+                    hashes[w_at[lo] : w_at[lo] + len(pos)] = grams.slice_hashes(sums, pos, pos + length)
+                    lo = hi
+                del data
+                owner = np.repeat(np.arange(len(size), dtype=np.int32), windows)
+                dups = []
+                for part in range(8):  # an eighth of the bucket's suffixes at a time
+                    sel = np.flatnonzero((hashes >> U(61)) == U(part)).astype(np.int32)
+                    key = hashes[sel]
+                    by = np.lexsort((rank[owner[sel]], key))  # stable: equal suffixes of one run stay in order
+                    key = key[by]
+                    dups.append(sel[by[1:][key[1:] == key[:-1]]])
+                dup = np.sort(np.concatenate(dups))
+                del hashes, dups
+                if len(dup):
+                    o = owner[dup]
+                    within = dup - w_at[o]
+                    new = np.concatenate([[True], (o[1:] != o[:-1]) | (within[1:] != within[:-1] + 1)])
                     s = np.flatnonzero(new)
                     e = np.append(s[1:], len(new)) - 1
-                    o = order[run_of[s]]
+                    o = o[s]
                     by = np.argsort(batch[o], kind="stable")
                     o, s, e = o[by], s[by], e[by]
                     out += spans(batch[o], block, loc[o, 0] + within[s], loc[o, 0] + within[e], loc[o, 3])
@@ -361,17 +381,21 @@ def _answered(docs: DataFrame, length: int, batch_bytes: int) -> DataFrame:
     """Bundles with the spans to remove: ids, offs, body, rest, answers."""
     wide = shuffle_width(docs.sparkSession)
     bits = max(8, min(16, (4 * wide - 1).bit_length()))
-    bundles = keep(arrow_map(docs, _bundle(batch_bytes), _BATCH), "suffix-bundles")
+    with small_batches(docs.sparkSession):
+        bundles = keep(arrow_map(docs, _bundle(batch_bytes), _BATCH), "suffix-bundles")
     plain = bundles.select("batch", "ids", "offs", "body")
     told = arrow_map(plain, _announce(length, bits), _WIRE).repartition(wide, "part")
     flags = arrow_map(told, _tally, _WIRE).groupBy("batch").agg(F.collect_list(F.struct("block", "a")).alias("answers"))
     asked = plain.join(flags, "batch", "left").select("batch", "ids", "offs", "body", "answers")
     dealt = arrow_map(asked, _suffixes(length, bits), _WIRE).repartition(wide, "part")
-    spans = arrow_map(dealt, _sort_buckets(length), _WIRE).groupBy("batch").agg(F.collect_list("a").alias("answers"))
+    found = keep(arrow_map(dealt, _sort_buckets(length), _WIRE).select("batch", "a"), "suffix-spans")
+    del told, flags, asked, dealt
+    settle(docs.sparkSession)
+    spans = found.groupBy("batch").agg(F.collect_list("a").alias("answers"))
     return bundles.join(spans, "batch", "left").select("ids", "offs", "body", "rest", "answers")
 
 
-def suffix_dedup_report(docs: DataFrame, *, length: int = 100, batch_bytes: int = 3 << 20) -> DataFrame:
+def suffix_dedup_report(docs: DataFrame, *, length: int = 100, batch_bytes: int = 2 << 20) -> DataFrame:
     """What removing every byte of a ``length``-byte string that starts earlier leaves of each document.
 
     Texts are UTF-8 bytes; earlier means a smaller doc_id, or the same document and
@@ -385,7 +409,7 @@ def suffix_dedup_report(docs: DataFrame, *, length: int = 100, batch_bytes: int
     return done.unionByName(lost)
 
 
-def suffix_dedup_texts(docs: DataFrame, *, length: int = 100, batch_bytes: int = 3 << 20) -> DataFrame:
+def suffix_dedup_texts(docs: DataFrame, *, length: int = 100, batch_bytes: int = 2 << 20) -> DataFrame:
     """``docs`` with all its columns, ``text`` without the bytes that occur earlier.
 
     Bytes of a character that is only partly removed go too. Rows are never dropped;
