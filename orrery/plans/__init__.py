@@ -1,6 +1,6 @@
 """Registered queries and their SQL."""
 
-from . import core, patterns  # noqa: F401
+from . import core, enforcement, graphs, memory, patterns, streams, text  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -43,7 +43,7 @@ RELATIONS: dict[str, tuple[str, list[str], str | None]] = {
         "orders",
         [
             "o_orderkey AS id", "o_custkey AS file", "o_orderstatus = 'F' AS is_exported", "o_orderpriority = '5-LOW' AS is_test", "o_orderpriority = '1-URGENT' AS is_entry",
-            "CAST(o_totalprice / 4000.0D0 AS BIGINT) AS lines", "o_custkey % 25 AS module",
+            "CAST(floor(o_totalprice / 4000.0D0) AS BIGINT) AS lines", "o_custkey % 25 AS module",
         ],
         None,
     ),
