@@ -69,6 +69,8 @@ def exponent(shares: DataFrame, mix: Mix, budget_over_total: float) -> float:
         for _ in range(6):
             grid = [low + (high - low) * k / 32 for k in range(33)]
             row = sums(grid)
+            if not row["n"]:
+                return 1.0
             met = []
             for k, a in enumerate(grid):
                 z, log_sum, rep = row[f"z{k}"], row[f"l{k}"], row[f"r{k}"]
@@ -107,7 +109,6 @@ def passes(narrow: DataFrame, mix: Mix) -> DataFrame:
     goal = goal.withColumn("goal", F.floor(F.col("weight") * F.lit(float(budget)) + 1e-3).cast("bigint"))
     goal = goal.select("source", "size", "weight", F.expr("goal div size").alias("whole"), F.expr("goal % size").alias("rest"))
     running = F.sum("tokens").over(Window.partitionBy("source").orderBy("block"))  # 4096 blocks a source at most
-    # Documents without words share keys with others; a source of nothing else has no size.
     ends = blocks.withColumn("after", running).join(goal, "source").where("after - tokens <= rest and rest < after")
     ends = ends.groupBy("source").agg(F.min_by(F.struct("block", (F.col("after") - F.col("tokens")).alias("before"), "weight", "whole", "rest", "size"), "block").alias("e")).select("source", "e.*")
     inside = narrow.join(ends.select("source", "block", "before", "rest"), ["source", "block"])
@@ -115,7 +116,9 @@ def passes(narrow: DataFrame, mix: Mix) -> DataFrame:
     taken = F.col("before") + F.sum("tokens").over(Window.partitionBy("source", "block").orderBy("key"))
     last = same_key.withColumn("taken", taken).where("taken <= rest").groupBy("source").agg(F.max("key").alias("last"))
     floor_key = F.shiftleft("block", KEY_BITS - BLOCK_BITS) - 1
-    return ends.join(last, "source", "left").select("source", "weight", "size", "whole", F.coalesce("last", floor_key).alias("last"))
+    table = ends.join(last, "source", "left").select("source", "weight", "size", "whole", F.coalesce("last", floor_key).alias("last"))
+    wordless = blocks.groupBy("source").agg(F.sum("tokens").alias("size")).where("size = 0")
+    return table.unionByName(wordless.select("source", F.lit(0.0).alias("weight"), "size", F.lit(1).cast("bigint").alias("whole"), F.lit(-1).cast("bigint").alias("last")))
 
 
 def _with_passes(rows: DataFrame, table: DataFrame, on: Column) -> DataFrame:
@@ -134,7 +137,7 @@ def mix_schedule(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     docs: doc_id, text, source; tokens are words ``[^\\x20\\x09-\\x0D]+``. Sorting by
     position gives the mixed order: a source's uses spread evenly over [0, 1), each
     pass with its blocks in another order. A null source counts as the source ''; a
-    source without any word is left out. Rows that share a doc_id are used alike.
+    source without any word costs nothing and is used once. Rows that share a doc_id are used alike.
     An empty table gives no rows; other columns are not read.
     """
     narrow = keep(_narrow(docs, mix.seed), "mix-rows")
