@@ -134,6 +134,6 @@ def suppressed_lines(lines: DataFrame, partition: str, order: str, text: str) ->
     """Lines silenced by a directive on them or on the line above: rules listed, or all ('*')."""
     found = F.regexp_extract(text, r"(?i)(?:orrery-ignore|#\s*noqa|eslint-disable-next-line|@SuppressWarnings)[:( ]*\"?([A-Za-z0-9_,\- ]*)", 1)
     has = F.col(text).rlike(r"(?i)orrery-ignore|#\s*noqa|eslint-disable-next-line|@SuppressWarnings")
-    rules = F.when(has, F.when(F.trim(found) == "", F.array(F.lit("*"))).otherwise(F.transform(F.split(found, ","), F.trim)))
+    rules = F.when(has, F.when(F.trim(found) == "", F.array(F.lit("*"))).otherwise(F.transform(F.split(found, ","), lambda x: F.trim(x))))
     above = F.lag("_rules").over(Window.partitionBy(partition).orderBy(order))
     return lines.withColumn("_rules", rules).withColumn("suppressed_rules", F.coalesce("_rules", above)).drop("_rules")

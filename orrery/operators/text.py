@@ -66,7 +66,7 @@ def findings(df: DataFrame, key: str, text: str, least: float = 0.40) -> DataFra
 
 def sentences(text: Column) -> Column:
     """Parts that end with . ! or ?, trimmed, empty ones out."""
-    return F.filter(F.transform(F.split(text, r"[.!?]+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, r"[.!?]+"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def textrank(df: DataFrame, key: str, text: str, top: int = 2, most: int = 200) -> DataFrame:
