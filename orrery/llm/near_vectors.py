@@ -199,6 +199,8 @@ def _verify(cosine: float):
         def flush():
             if len(rows) > 1:
                 side = np.array([r[0] for r in rows])
+                if now[1] != now[2] and side.min() == side.max():
+                    return None  # the other chunk has no member: its own task holds these pairs
                 x = np.frombuffer(b"".join(r[3] for r in rows), "<f8").reshape(len(rows), -1)
                 lists = np.frombuffer(b"".join(r[4] for r in rows), "<i8").reshape(len(rows), -1)
                 return verify_bucket(now[0], side, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), x, lists, cosine)

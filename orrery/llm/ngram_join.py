@@ -331,11 +331,13 @@ def verify_group(n: np.ndarray, sets: list[np.ndarray], side: np.ndarray, num: i
 
 
 def _verify(num: int, den: int):
-    def flush(rows: list) -> tuple[list, list]:
+    def flush(now: tuple | None, rows: list) -> tuple[list, list]:
         if len(rows) < 2:
             return [], []
         ids = np.array([r[0] for r in rows])
         side = np.array([r[2] for r in rows])
+        if now[1] != now[2] and side.min() == side.max():
+            return [], []  # the other chunk has no member
         found = verify_group(np.array([r[1] for r in rows]), [np.frombuffer(r[3], "<u8") for r in rows], side, num, den)
         return [int(ids[i]) for i, _ in found], [int(ids[j]) for _, j in found]
 
@@ -345,14 +347,14 @@ def _verify(num: int, den: int):
             a, b = [], []
             for comp, i, j, cls, n, chunk, raw in zip(*(c.to_pylist() for c in batch.columns)):
                 if (comp, i, j) != now:
-                    x, y = flush(rows)
+                    x, y = flush(now, rows)
                     a += x
                     b += y
                     now, rows = (comp, i, j), []
                 rows.append((cls, n, int(chunk == j and i != j), raw))
             if a:
                 yield pa.RecordBatch.from_pydict({"a": a, "b": b})
-        a, b = flush(rows)
+        a, b = flush(now, rows)
         if a:
             yield pa.RecordBatch.from_pydict({"a": a, "b": b})
 
