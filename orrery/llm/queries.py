@@ -6,10 +6,12 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import license_scan, url_filter, warc
 from .common import work_dir
 from .mixing import Mix, mix_schedule
+from .oracles import ORACLES  # noqa: F401  registered with the queries
 from .toxicity import toxicity_report
 from .near_vectors import near_vectors
 from .ngram_join import ngram_jaccard_classes
@@ -50,7 +52,7 @@ def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule or model verdict on every page's URL."""
-    return url_filter.judge_urls(_table(spark, sf_dir, "pages"))
+    return url_filter.judge_urls(_table(spark, sf_dir, "pages")).withColumn("score", F.round("score", 6))
 
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +94,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_license_scans": op10_license_scans,
 }
-
-ORACLES: dict[str, str] = {
-    "op10_license_scans": license_scan.oracle(),
-}
