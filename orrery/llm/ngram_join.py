@@ -125,13 +125,13 @@ def _send(width: int, block_bits: int, batch_bytes: int):
                         out.append((number, k, _pack(ch[x:y] & low), cd[x:y].tobytes(), _pack(hh[v:w] & low), hc[v:w].tobytes()))
                 for x in range(0, len(out), 128):
                     b, k, *blobs = zip(*out[x : x + 128])
-                    at_part = [grams_int(q, r) for q, r in zip(b, k)]
+                    at_part = [deal_key(q, r) for q, r in zip(b, k)]
                     yield pa.RecordBatch.from_arrays([pa.array(at_part, pa.int64()), pa.array(b, pa.int64()), pa.array(k, pa.int32()), *(pa.array(z, pa.binary()) for z in blobs)], schema=_WIRE_ARROW)
 
     return run
 
 
-def grams_int(batch: int, block: int) -> int:
+def deal_key(batch: int, block: int) -> int:
     """Where a row goes: data to its block, a batch's header anywhere."""
     return block if block >= 0 else batch
 
@@ -388,7 +388,9 @@ def ngram_jaccard_classes(docs: DataFrame, *, width: int = 5, num: int = 80, den
     classes = keep(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("cls"), F.min(F.expr("if(shared is not null, doc_id, null)")).alias("carrier")), "ngram-classes")
     carriers = classes.where("carrier is not null").select(F.col("carrier").alias("doc_id"), "cls", "d1", "d2")
     # d1, d2 guard against a repeated id that stands for two texts.
-    led = full.where("shared is not null").join(carriers, ["doc_id", "d1", "d2"]).dropDuplicates(["cls"]) if _repeats(full) else full.where("shared is not null").join(carriers, ["doc_id", "d1", "d2"])
+    led = full.where("shared is not null").join(carriers, ["doc_id", "d1", "d2"])
+    if _repeats(full):
+        led = led.dropDuplicates(["cls"])
     span = F.lit(math.log(den / num) * 1.0001 if num < den else 1e-9)
     step = F.floor(F.log(F.col("n").cast("double")) / span).cast("bigint")
     node = led.select("cls", F.explode("prefix").alias("token"), step.alias("step")).select("cls", F.explode(F.array(F.xxhash64("token", "step"), F.xxhash64("token", F.col("step") + 1))).alias("node"))
