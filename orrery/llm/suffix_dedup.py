@@ -119,6 +119,7 @@ class _Batch:
     def sample(self):
         """Distinct samples: hashes, and the numbers of different contexts; keeps the runs."""
         h, pos, first, last, doc = cover(self.data, self.offs, self.length)
+        h = grams.mix(h ^ U(0x2545F4914F6CDD1D))  # sampled hashes are small ones: mixed again, they fill the buckets evenly
         ctx = np.empty(len(h), np.uint64)
         for lo in range(0, len(h), 1 << 13):  # context hashes over about 300 KB at a time
             a, b = first[lo : lo + (1 << 13)], last[lo : lo + (1 << 13)] + self.length
