@@ -4,10 +4,17 @@ A text is normalised (case, copyright lines, punctuation and white space, equiva
 spellings) and its SHA-256 is joined to the digests of known licence texts, which
 are normalised by the same expression. Whole documents are looked up, and each of
 their lines, so that a one-line notice inside a document is found too.
+
+Known are the fixed texts below, the whole texts in the folder ``licenses`` and any
+table that a caller gives. A file there holds titles, body and appendix, parted by
+lines of ``%%`` (titles among themselves by ``%``); what follows ``~`` in its name
+tells wordings of one licence apart.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,29 +47,62 @@ def canonical(text: Column) -> Column:
     return out
 
 
+# Words after which a line that starts with "copyright" goes on with a licence's own sentence.
+_SENTENCE = "notices?|licenses?|licences?|laws?|holders?|owners?|statements?|permission|protection|interests?|on|in|and|or|to|is|of"
+
+
+def unwrapped(text: Column) -> Column:
+    """``canonical``, but only copyright statements go: a sentence that was wrapped before "copyright", or an item (c), stays."""
+    body = rf"(?im)^([ \t]*)(?:copyright(?=(?:[ \t]+(?:{_SENTENCE})|ed|s)\b)|\(c\)(?![ \t]*(?:copyright|©|[0-9]{{4}})))"
+    return canonical(F.regexp_replace(text, body, "$1. $0"))
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """(license, text) of the folder's texts: each without a title and with each, with and without its appendix."""
+    out = []
+    for path in sorted((Path(__file__).parent / "licenses").glob("*.txt")):
+        titles, body, *rest = path.read_text(encoding="utf-8").split("\n%%\n")
+        heads = ["", *titles.split("\n%\n")]
+        heads += [f"{head}\nAll rights reserved." for head in heads]
+        out += [(path.stem.split("~")[0], f"{head}\n{body}\n{tail}") for head in heads for tail in {"", *rest}]
+    return out
+
+
+def text_digests(texts: DataFrame) -> DataFrame:
+    """digest -> license of a table of texts (license, text), as ``license_scan`` takes it."""
+    each = texts.select("license", F.explode(F.array_distinct(F.array(canonical(F.col("text")), unwrapped(F.col("text"))))).alias("t"))
+    return each.where("t <> ''").select(F.sha2("t", 256).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
+
+
 def known_digests(spark: SparkSession) -> DataFrame:
-    """digest -> license, of the fixed texts above (a dozen rows)."""
-    texts = spark.createDataFrame(list(KNOWN), "license string, text string")
-    return texts.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
+    """digest -> license, of the fixed texts above and the folder's (some hundred rows)."""
+    return text_digests(spark.createDataFrame([*KNOWN, *whole_texts()], "license string, text string"))
 
 
-def license_scan(docs: DataFrame) -> DataFrame:
+def license_scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Licences of every row of ``docs`` (doc_id, text).
 
+    known: further digests (digest, license), as of ``text_digests``; a digest that is
+    known here already keeps its licence. They are held by the driver and broadcast.
+
     Returns doc_id, digest (of the canonical whole text), license (of the whole text,
     else null), n_notices (lines that are a known text) and notices (their licences,
     sorted, joined by commas; empty if none). A null text counts as empty, which no
     licence equals. One row per input row, null ids and repeated rows included; other
     columns are not read. Nothing is shuffled.
     """
-    known = known_digests(docs.sparkSession)
-    names = F.create_map(*(F.lit(x) for r in known.collect() for x in r))  # a dozen fixed rows
+    spark = docs.sparkSession
+    names = {r.digest: r.license for r in [*(known.select("digest", "license").collect() if known is not None else []), *known_digests(spark).collect()]}
+    by_digest = F.broadcast(spark.createDataFrame(sorted(names.items()), "digest string, license string"))
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = F.transform(F.split("text", "\n"), lambda line: F.element_at(names, F.sha2(canonical(line), 256)))
-    found = F.filter(found, lambda name: name.isNotNull())
-    scanned = base.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest"), found.alias("found"))
-    scanned = scanned.select("doc_id", "digest", F.size("found").cast("bigint").alias("n_notices"), F.array_join(F.array_sort(F.array_distinct("found")), ",").alias("notices"))
-    return scanned.join(F.broadcast(known), "digest", "left").select("doc_id", "digest", "license", "n_notices", "notices")
+    # A set of literals is looked up by hash, so the map is searched for hits only.
+    found = F.filter(F.transform(F.split("text", "\n"), lambda line: F.sha2(canonical(line), 256)), lambda digest: digest.isin(*names))
+    found = F.transform(found, lambda digest: F.element_at(F.create_map(*(F.lit(x) for kv in names.items() for x in kv)), digest))
+    other = F.when(F.col("text").rlike(r"(?im)^[ \t]*(copyright|\(c\))"), F.sha2(unwrapped(F.col("text")), 256))  # else equal to the digest
+    scanned = base.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest"), other.alias("other"), found.alias("found"))
+    scanned = scanned.select("doc_id", "digest", "other", F.size("found").cast("bigint").alias("n_notices"), F.array_join(F.array_sort(F.array_distinct("found")), ",").alias("notices"))
+    scanned = scanned.join(by_digest, "digest", "left").join(by_digest.select(F.col("digest").alias("other"), F.col("license").alias("other_license")), "other", "left")
+    return scanned.select("doc_id", "digest", F.coalesce("license", "other_license").alias("license"), "n_notices", "notices")
 
 
 def _sql_text(s: str) -> str:

@@ -181,6 +181,29 @@ def test_licences(docs, no_docs, spark):
         assert (got[i].digest, got[i].license, got[i].n_notices, got[i].notices) == w
 
 
+def test_whole_licence_files(spark):
+    from pathlib import Path
+
+    folder = Path(license_scan.__file__).parent / "licenses"
+    owner = "Copyright (c) 2020 X"
+    files = {}
+    for path in sorted(folder.glob("*.txt")):
+        titles, body, *rest = path.read_text().split("\n%%\n")
+        head = titles.split("\n%\n")[0]
+        files[path.stem] = f"{head}\n\n{owner}\n\n{body}\n" + "".join(rest)
+        files[path.stem + "+"] = f"{owner}\nAll rights reserved.\n\n{body}"
+        files[path.stem + "-"] = f"{head}\n\n{owner}\n\n" + "\n\n".join(" ".join(p.split()) for p in body.split("\n\n"))  # not wrapped
+    assert {"MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "MPL-2.0", "CC0-1.0"} <= set(files)
+    wrapped = "ISC License\n\nCopyright 2020 X\n\n" + license_scan.KNOWN[1][1].replace("above copyright", "above\ncopyright")
+    files |= {"ISC!": wrapped, "My-1.0": "My own licence.\nDo what you like."}
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(files.values())], "doc_id bigint, text string")
+    mine = license_scan.text_digests(spark.createDataFrame([("My-1.0", "My own license. Do what you like!")], "license string, text string"))
+    got = {r.doc_id: r.license for r in license_scan.license_scan(docs, mine).collect()}
+    wrong = {name: got[k] for k, name in enumerate(files) if got[k] != name.rstrip("+-!").split("~")[0]}
+    assert not wrong
+    assert license_scan.license_scan(docs).where("license is null").count() == 1
+
+
 def brute_mix(rows, mix):
     tok, src = Counter(), {}
     for i, t, s in rows:
