@@ -25,3 +25,53 @@ def test_query(spark, con, name):
         assert oracle.differences(df, con, ORACLES[name]) == ""
     else:
         assert df.columns and df.count() >= 0
+
+
+def test_graph_queries_start_everywhere(spark, tmp_path):
+    """Inverse reach, cheapest paths and propagation from all functions, by brute force."""
+    import heapq
+    from collections import defaultdict
+
+    rank = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+    keys = [k for k in range(1, 140) if k % 7]
+    rows = [(k, k % 40, "F", float(900 * k), rank[k * k % 5]) for k in keys]
+    spark.createDataFrame(rows, "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    edges = {(k, k * 3 if k % 11 == 0 else k // 3): round(1 - [0.95, 0.9, 0.8, 0.75, 0.6][k * k % 5], 4) for k in keys}
+    back, both, out = defaultdict(set), defaultdict(set), defaultdict(dict)
+    for (a, b), w in edges.items():
+        back[b].add(a)
+        both[a].add(b)
+        both[b].add(a)
+        out[a][b] = w
+
+    def hops(near, start, most):
+        seen, level = {start: 0}, [start]
+        for depth in range(1, most + 1):
+            level = [y for y in {y for x in level for y in near[x]} if y not in seen]
+            seen |= dict.fromkeys(level, depth)
+        return {n: k for n, k in seen.items() if k}
+
+    inverse = {(k, n, depth) for k in keys for n, depth in hops(back, k, 3).items()}
+    assert {(r.start, r.node, r.depth) for r in QUERIES["bfs_inverse_all"](spark, str(tmp_path)).collect()} == inverse
+
+    cheapest = {}
+    for k in keys:
+        heap = [(0.0, k)]
+        while heap:
+            cost, n = heapq.heappop(heap)
+            if (k, n) not in cheapest:
+                cheapest[k, n] = round(cost, 6)
+                for m, w in out[n].items():
+                    heapq.heappush(heap, (cost + w, m))
+    assert {(r.start, r.node): r.cost for r in QUERIES["shortest_path_all"](spark, str(tmp_path)).collect()} == pytest.approx(cheapest)
+
+    want, far = defaultdict(list), 0
+    for k in keys:
+        for n, depth in hops(both, k, 5).items():
+            delta = 900 * k // 4000 / 100 * 0.5**depth
+            if delta >= 0.01:
+                want[n].append(delta)
+                far += depth > 3
+    got = {r.node: (r.delta, r.sources) for r in QUERIES["contradiction_propagation_all"](spark, str(tmp_path)).collect()}
+    assert far and set(got) == set(want)
+    assert all(got[n] == (pytest.approx(sum(x), abs=1e-6), len(x)) for n, x in want.items())
