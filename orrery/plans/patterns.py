@@ -187,7 +187,7 @@ def jaccard_pairs(spark, d):
 
 @query()
 def minhash_pairs(spark, d):
-    """128 hashes in 32 bands of 4; hash values are this engine's own, so no SQL."""
+    """128 hashes in 64 bands of 2, as the threshold needs; hash values are this engine's own, so no SQL."""
     sets = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("t"))
     return M.minhash_pairs(sets, "a", "t", 0.3).select("a", "b", r6(F.col("estimate")).alias("estimate"))
 

@@ -82,6 +82,20 @@ def test_minhash_finds_close_sets(spark):
     assert [(r.a, r.b, r.estimate) for r in similarity.minhash_pairs(df, "o", "t", 0.5).collect()] == [(1, 2, 1.0)]
 
 
+def test_minhash_recall_at_its_threshold(spark):
+    sets = {}
+    for k in range(60):  # pairs of Jaccard 30 / 90, 40 / 80 ... that share nothing with other pairs
+        common = (30, 40, 50)[k % 3]
+        sets[2 * k] = [1000 * k + t for t in range(60)]
+        sets[2 * k + 1] = [1000 * k + 60 - common + t for t in range(60)]
+    df = spark.createDataFrame([(o, t) for o, s in sets.items() for t in s], "o int, t int")
+    want = {(r.a, r.b): r.jaccard for r in similarity.jaccard_pairs(df, "o", "t", 0.3).collect()}
+    got = {(r.a, r.b): r.jaccard for r in similarity.minhash_pairs(df, "o", "t", 0.3).collect()}
+    assert len(want) == 60 and set(got) <= set(want) and len(got) >= 0.9 * len(want)
+    assert all(math.isclose(got[p], want[p]) for p in got)
+    assert similarity.band_rows(0.3, 128) == 2
+
+
 def test_thresholds(spark):
     assert [value(spark, S.merge_decision(F.lit(x))) for x in (0.95, 0.85, 0.8499)] == ["auto_merge", "flag_for_review", "separate"]
     assert [value(spark, S.audit_duplicate_tier(F.lit(x))) for x in (0.951, 0.95, 0.90, 0.84)] == ["auto_merge", "merge", "review", "none"]
