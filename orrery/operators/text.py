@@ -69,22 +69,18 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"[.!?]+"), lambda s: F.trim(s)), lambda s: s != "")
 
 
-def textrank(df: DataFrame, key: str, text: str, top: int = 2, most: int = 200) -> DataFrame:
-    """The ``top`` best sentences of each document in their order.
-
-    The graph of a document is quadratic in its sentences, so a longer document is
-    ranked in runs of ``most`` sentences, each run giving its own best.
-    """
+def textrank(df: DataFrame, key: str, text: str, top: int = 2) -> DataFrame:
+    """The ``top`` best sentences of each document in their order, ranked over the whole document."""
 
     def run(frames):
         for pdf in frames:
             out = []
             for k, parts in zip(pdf[key], pdf["_s"]):
-                for lo in range(0, len(parts), most):
-                    block = list(parts[lo : lo + most])
-                    score = textrank_scores([s.lower().split() for s in block])
-                    best = sorted(range(len(block)), key=lambda i: (-round(score[i], 9), i))[:top]
-                    out += [(k, lo + i, block[i], score[i]) for i in sorted(best)]
+                if parts is None:
+                    continue
+                score = textrank_scores([s.lower().split() for s in parts])
+                best = sorted(range(len(parts)), key=lambda i: (-round(score[i], 9), i))[:top]
+                out += [(k, i, parts[i], score[i]) for i in sorted(best)]
             yield pd.DataFrame(out, columns=[key, "position", "sentence", "score"])
 
     kind = df.schema[key].dataType.simpleString()

@@ -180,7 +180,7 @@ def path_similarity(spark, d):
 @query()
 def textrank(spark, d):
     """Power iteration per document."""
-    return X.textrank(table(spark, d, "benchmark"), "item_id", "text", 2).select("item_id", "position", "sentence", r6(F.col("score")).alias("score"))
+    return X.textrank(table(spark, d, "documents"), "doc_id", "text", 2).select("doc_id", "position", "sentence", r6(F.col("score")).alias("score"))
 
 
 @query()

@@ -170,6 +170,29 @@ def test_redaction_and_textrank(spark):
     assert math.isclose(scores[0], scores[1]) and scores[2] < scores[0]
 
 
+def test_textrank_ranks_the_whole_document(spark):
+    rng = np.random.default_rng(4)
+    parts = [" ".join(f"w{x}" for x in rng.integers(0, 60, rng.integers(1, 9))) for _ in range(430)]
+    parts[7] = "lonely"
+    counts = np.array([[s.split().count(w) for w in sorted({w for p in parts for w in p.split()})] for s in parts], float)
+    unit = counts / np.linalg.norm(counts, axis=1, keepdims=True)
+    weight = unit @ unit.T
+    np.fill_diagonal(weight, 0)
+    weight[7] = weight[:, 7] = 0
+    total = weight.sum(1)
+    want = np.full(430, 1 / 430)
+    for _ in range(100):
+        new = 0.15 / 430 + 0.85 * weight @ np.divide(want, total, out=np.zeros(430), where=total > 0)
+        done, want = np.abs(new - want).max() < 1e-6, new
+        if done:
+            break
+    assert np.allclose(similarity.textrank_scores([p.split() for p in parts]), want, atol=1e-9)
+    df = spark.createDataFrame([(1, ". ".join(parts)), (2, "a b. a b. q"), (3, ""), (4, None)], "k int, t string")
+    got = [(r.k, r.position) for r in text.textrank(df, "k", "t", 2).collect()]
+    best = sorted(range(430), key=lambda i: (-round(want[i], 9), i))[:2]
+    assert sorted(got) == [(1, i) for i in sorted(best)] + [(2, 0), (2, 1)]
+
+
 def test_packages_import_without_llm():
     """Nothing outside the folder imports it."""
     import pathlib
