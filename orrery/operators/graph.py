@@ -51,12 +51,17 @@ def reachable_set(edges: DataFrame, starts: DataFrame) -> DataFrame:
         seen = seen.unionByName(frontier)
 
 
-def shortest_paths(edges: DataFrame, starts: DataFrame, weight: str, rounds: int = 64) -> DataFrame:
-    """(start, node, cost, via) of least total weight: relaxation of improved nodes only, until none improves."""
+def shortest_paths(edges: DataFrame, starts: DataFrame, weight: str) -> DataFrame:
+    """(start, node, cost, via) of least total weight: relaxation of improved nodes only, until none improves.
+
+    Weights are not negative, or a cycle might improve for ever.
+    """
     edges = working_table(edges, "edges")
     best = working_table(starts.select("start", F.col("start").alias("node"), F.lit(0.0).alias("cost"), F.lit(None).cast("bigint").alias("via")), "paths")
     active = best
-    for _ in range(rounds):
+    if not edges.where(F.col(weight) < 0).isEmpty():
+        raise ValueError("negative weights")
+    while True:
         step = active.join(edges, active.node == edges.src).select("start", F.col("dst").alias("node"), (F.col("cost") + F.col(weight)).alias("cost"), F.col("src").alias("via"))
         step = step.groupBy("start", "node").agg(F.min(F.struct("cost", "via")).alias("x")).select("start", "node", "x.cost", "x.via")
         old = best.select("start", "node", F.col("cost").alias("old"))
@@ -67,25 +72,37 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, weight: str, rounds: int
     return best
 
 
-def k_paths(edges: DataFrame, start: int, end: int, k: int, depth: int = 8) -> DataFrame:
-    """The k cheapest loopless paths of at most ``depth`` edges: path array, cost, rank.
+def k_paths(edges: DataFrame, start: int, end: int, k: int, depth: int | None = None) -> DataFrame:
+    """The k cheapest loopless paths (of at most ``depth`` edges, if given): path, cost.
 
-    Partial paths that can't end within the remaining edges are dropped by a backward
-    distance table first, which bounds the enumeration to paths that lead there.
+    Only nodes that lead to the end are entered. Weights are not negative, so once k
+    paths are known a partial path dearer than the k-th is dropped; the loop ends when
+    no partial path is left.
     """
     spark = edges.sparkSession
-    back = reach(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), spark.createDataFrame([(end,)], "start bigint"), depth).select("node", "depth")
+    e = working_table(edges.select("src", "dst", "weight"), "edges")
+    if not e.where("weight < 0").isEmpty():
+        raise ValueError("negative weights")
+    back = reach(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), spark.createDataFrame([(end,)], "start bigint"), depth).select("node", "depth")
     back = working_table(back.unionByName(spark.createDataFrame([(end, 0)], "node bigint, depth int")), "back")
     paths = spark.createDataFrame([([start], start, 0.0)], "path array<bigint>, node bigint, cost double")
-    done = paths.where("false")
-    e = edges.select("src", "dst", "weight")
-    for used in range(1, depth + 1):
+    order = ("cost", F.size("path"), F.array_join(F.transform("path", lambda x: x.cast("string")), ">"))
+    done, used = paths.where("false"), 0
+    while depth is None or used < depth:
+        used += 1
         step = paths.join(e, paths.node == e.src).where(~F.array_contains("path", F.col("dst")))
-        step = step.join(back.withColumnRenamed("node", "dst"), "dst").where(F.col("depth") <= depth - used)
-        paths = working_table(step.select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("node"), (F.col("cost") + F.col("weight")).alias("cost")), "paths")
-        done = done.unionByName(paths.where(F.col("node") == end))
-        paths = paths.where(F.col("node") != end)
-    out = done.orderBy("cost", F.size("path"), F.array_join(F.transform("path", lambda x: x.cast("string")), ">")).limit(k)
+        step = step.join(back.withColumnRenamed("node", "dst"), "dst")
+        if depth is not None:
+            step = step.where(F.col("depth") <= depth - used)
+        step = working_table(step.select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("node"), (F.col("cost") + F.col("weight")).alias("cost")), "paths")
+        done = working_table(done.unionByName(step.where(F.col("node") == end)).orderBy(*order).limit(k), "done")
+        known = done.agg(F.count("*").alias("n"), F.max("cost").alias("cost")).first()
+        paths = step.where(F.col("node") != end)
+        if known.n == k:
+            paths = paths.where(F.col("cost") <= known.cost)
+        if paths.isEmpty():
+            break
+    out = done.orderBy(*order)
     return out.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "cost")
 
 
@@ -157,7 +174,7 @@ def coupling(edges: DataFrame, abstract_share: DataFrame | None = None) -> DataF
     return out.withColumn("distance", F.abs(F.col("abstractness") + F.col("instability") - 1))
 
 
-def greedy_cover(covers: DataFrame, chooser: str, item: str, rounds: int = 10_000) -> DataFrame:
+def greedy_cover(covers: DataFrame, chooser: str, item: str) -> DataFrame:
     """Minimum set, greedily: each round takes the chooser of most uncovered items (least id on ties).
 
     Every round is an aggregate whose best row alone reaches the driver.
@@ -165,7 +182,7 @@ def greedy_cover(covers: DataFrame, chooser: str, item: str, rounds: int = 10_00
     spark = covers.sparkSession
     left = working_table(covers.select(F.col(chooser).alias("c"), F.col(item).alias("i")).distinct(), "cover")
     chosen = []
-    for _ in range(rounds):
+    while True:
         top = left.groupBy("c").count().orderBy(F.desc("count"), "c").first()
         if top is None:
             break

@@ -116,7 +116,7 @@ def k_paths(spark, d):
     o = table(spark, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
     flow = li.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     e = flow.groupBy(F.col("c_nationkey").cast("bigint").alias("src"), F.col("s_nationkey").cast("bigint").alias("dst")).agg(F.count("*").alias("n")).where("src <> dst")
-    return G.k_paths(e.withColumn("weight", 1.0 / F.col("n")), 0, 1, 5, 3).select("path", r6(F.col("cost")).alias("cost"))
+    return G.k_paths(e.withColumn("weight", 1.0 / F.col("n")), 0, 1, 5).select("path", r6(F.col("cost")).alias("cost"))
 
 
 @query("call_edges", f"WITH {_E}, {_CLOSE}, m AS (SELECT a.start AS node, least(a.start, min(a.node)) AS component FROM r AS a JOIN r AS b ON b.start = a.node AND b.node = a.start WHERE a.start <> a.node GROUP BY a.start) SELECT node, component FROM m")

@@ -134,6 +134,13 @@ def test_k_paths(spark):
     assert [(r.path, r.cost) for r in graph.k_paths(e, 1, 4, 2).collect()] == [("1>2>4", 2.0), ("1>3>4", 3.0)]
 
 
+def test_k_paths_have_no_edge_bound(spark):
+    chain = [(k, k + 1, 0.1) for k in range(1, 10)]
+    e = spark.createDataFrame([*chain, (1, 10, 5.0), (1, 9, 3.0), (10, 2, 0.1)], "src bigint, dst bigint, weight double")
+    got = [(r.path, round(r.cost, 6)) for r in graph.k_paths(e, 1, 10, 3).collect()]
+    assert got == [("1>2>3>4>5>6>7>8>9>10", 0.9), ("1>9>10", 3.1), ("1>10", 5.0)]
+
+
 def test_greedy_cover(spark):
     df = spark.createDataFrame([("b", 1), ("b", 2), ("a", 2), ("a", 3), ("c", 3)], "c string, i int")
     assert [(r.c, r.newly_covered) for r in graph.greedy_cover(df, "c", "i").collect()] == [("a", 2), ("b", 1)]
@@ -201,3 +208,11 @@ def test_packages_import_without_llm():
     for path in root.rglob("*.py"):
         if "llm" not in path.parts:
             assert "orrery.llm" not in path.read_text() and "from .llm" not in path.read_text(), path
+
+
+def test_loops_have_no_round_limit():
+    """A bound would end them silently; a chain of that many rounds takes minutes."""
+    import inspect
+
+    assert "rounds" not in inspect.signature(graph.shortest_paths).parameters
+    assert "rounds" not in inspect.signature(graph.greedy_cover).parameters
