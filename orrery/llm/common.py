@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -40,8 +41,10 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 
 def settle(spark: SparkSession) -> None:
     """Have the driver forget finished steps, so that Spark deletes their shuffle files now and not at some later collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # finished steps leave the driver's event queue only after a while
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
 
 
 @contextlib.contextmanager

@@ -22,9 +22,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BASE = 0x9E3779B97F4A7C15
-_UNBASE = pow(_BASE, -1, 1 << 64)
-_TABLE = mix(np.arange(1, 257, dtype=np.uint64) * U(0xBF58476D1CE4E5B9))
+#: Two independent kinds of hash: base, its inverse, and a value for each byte.
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_UNBASES = tuple(pow(b, -1, 1 << 64) for b in _BASES)
+_TABLES = tuple(mix(np.arange(1, 257, dtype=np.uint64) * U(x)) for x in (0xBF58476D1CE4E5B9, 0xFF51AFD7ED558CCD))
 _POWERS: dict[int, np.ndarray] = {}
 
 WHITE = np.zeros(256, bool)
@@ -46,17 +47,17 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
+def prefix_sums(data: np.ndarray, kind: int = 0) -> np.ndarray:
     """n + 1 prefix sums of table[byte] * base**position."""
     out = np.empty(len(data) + 1, np.uint64)
     out[0] = 0
-    np.cumsum(_TABLE[data] * powers(_BASE, len(data)), out=out[1:])
+    np.cumsum(_TABLES[kind][data] * powers(_BASES[kind], len(data)), out=out[1:])
     return out
 
 
-def slice_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def slice_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray, kind: int = 0) -> np.ndarray:
     """Hash of data[start:end] for each pair, equal for equal bytes."""
-    inv = powers(_UNBASE, len(sums))
+    inv = powers(_UNBASES[kind], len(sums))
     return mix((sums[end] - sums[start]) * inv[start] + (end - start).astype(np.uint64) * U(0x94D049BB133111EB))
 
 
@@ -66,7 +67,7 @@ def window_hashes(data: np.ndarray, width: int) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, np.uint64)
     sums = prefix_sums(data)
-    return mix((sums[width:] - sums[:-width]) * powers(_UNBASE, n))
+    return mix((sums[width:] - sums[:-width]) * powers(_UNBASES[0], n))
 
 
 def words(data: np.ndarray, offs: np.ndarray, piece: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

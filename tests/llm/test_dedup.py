@@ -116,6 +116,38 @@ def test_suffix_repeated_rows_and_text(docs, no_docs):
     assert suffix_dedup.suffix_dedup_texts(no_docs).columns == no_docs.columns
 
 
+def test_suffix_texts_equal_brute_force(docs):
+    one = docs.dropDuplicates(["doc_id"]).where("doc_id is not null")
+    seen, want = set(), {}
+    for i, t in sorted((r.doc_id, (r.text or "").encode()) for r in one.collect()):
+        gone = bytearray(len(t))
+        for k in range(len(t) - 99):
+            if t[k : k + 100] in seen:
+                gone[k : k + 100] = b"\1" * 100
+            seen.add(t[k : k + 100])
+        want[i] = bytes(b for b, g in zip(t, gone) if not g).decode("utf-8", "ignore")
+    assert {r.doc_id: r.text for r in suffix_dedup.suffix_dedup_texts(one, batch_bytes=2000).collect()} == want
+
+
+@pytest.mark.parametrize("hot", [1024, 0])
+def test_suffix_ties_do_not_depend_on_files(docs, spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT_CONTEXTS", hot)
+    more = spark.createDataFrame([(11, docs.where("doc_id = 45").first().text), (11, docs.where("doc_id = 46").first().text)], "doc_id bigint, text string")
+    both = docs.select("doc_id", "text").unionByName(more)
+    report = lambda n: Counter(map(tuple, suffix_dedup.suffix_dedup_report(both.repartition(n, "text"), batch_bytes=3000).collect()))
+    assert report(1) == report(7)
+
+
+def test_equal_suffixes_compares_bytes():
+    """Runs with one sample but other bytes around it are told apart, padding included."""
+    sample = bytes(range(65, 97))
+    body = [b"ab" + sample + b"c" * 66, b"xb" + sample + b"c" * 66, b"ab" + sample + b"c" * 65 + b"d", b"ab" + sample + b"c" * 66]
+    data = np.frombuffer(b"".join(body), np.uint8)
+    at = np.arange(4) * 100
+    run, number = suffix_dedup.equal_suffixes(data, at, np.ones(4, int), np.full(4, 2), 100)
+    assert run.tolist() == [3] and number.tolist() == [0]
+
+
 def test_long_document_spans_segments(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SEGMENT", 1000)
     rng = np.random.default_rng(1)
