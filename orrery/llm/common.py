@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 LOCAL_FALLBACK = "/tmp/checkpoints/orrery"
 
@@ -63,6 +64,33 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def text_bytes(docs: DataFrame) -> int:
+    """UTF-8 bytes of the column ``text`` in all rows."""
+    return docs.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+
+
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """One row at a time, so that only that row's bytes are copied."""
+    for batch in batches:
+        columns = batch.columns
+        for k in range(batch.num_rows):
+            yield tuple(c[k].as_py() for c in columns)
+
+
+def runs_by(rows: Iterator[tuple], key: Callable[[tuple], object]) -> Iterator[tuple[object, list[tuple]]]:
+    """(key, rows) of consecutive rows with one key; only one run is held."""
+    now, held = None, []
+    for row in rows:
+        k = key(row)
+        if held and k != now:
+            yield now, held
+            held = []
+        now = k
+        held.append(row)
+    if held:
+        yield now, held
+
+
 def release() -> None:
     """Hand freed memory back: a Python worker outlives its task, and its peak counts against the executor."""
     gc.collect()

@@ -10,17 +10,21 @@
    is shared; shingles that nobody else has come first and use up that prefix, so
    most documents end here.
 4. Documents that share a prefix shingle within a length class of 1/t are
-   connected; equal sets stand as one class. Each connected group is verified pair
-   by pair under the length, positional and suffix filters, once per pair and only
-   while the two are not yet linked through others. Groups beyond ``chunk_entries``
-   are split into chunk pairs, which cover all of the group's pairs.
-5. Links go through connected components.
+   connected; equal sets stand as one class. A connected group is where its
+   documents' prefixes are joined: an index from prefix shingles to members gives
+   the candidates, and each is verified once under the length, positional and
+   suffix filters. Groups beyond ``chunk_entries`` are split into chunk pairs, which
+   cover all of the group's pairs.
+5. Where chance links join very many documents (more than ``most_chunks`` chunks),
+   postings are joined by prefix shingle instead: a shingle's postings are dealt
+   into runs of at most ``posting_run``, pairs of runs are joined, and the distinct
+   pairs that pass the filters are verified.
+6. Links go through connected components; each class also gets its number of links.
 """
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,12 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import grams
-from .common import arrow_map, keep, shuffle_width, slabs, small_batches, text_buffers
+from .common import arrow_map, keep, rows_of, runs_by, shuffle_width, slabs, small_batches, text_buffers, text_bytes
 from .components import components
 
 U = np.uint64
 HASH_BITS = 56  # of a shingle; the top byte of a sort key holds the frequency class
-SMALL_GROUP = 48
+SMALL_GROUP = 16
+#: Text bytes for each hash block and for each task, about.
+BLOCK_BYTES, TASK_BYTES = 16 << 20, 32 << 20
 
 
 def required(nx, ny, num: int, den: int):
@@ -76,6 +82,7 @@ def _send(width: int, block_bits: int, batch_bytes: int):
         number = (task.partitionId() if task else 0) << 24
         for rows in batches:
             ids = rows.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            text_hash = rows.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
             data, offs = text_buffers(rows.column(1))
             for lo, hi, part, at in slabs(data, offs, batch_bytes):
                 h, _, _, doc = grams.words(grams.LOWER[part], at)
@@ -110,7 +117,7 @@ def _send(width: int, block_bits: int, batch_bytes: int):
                 hot = count >= LOCAL_HOT
                 cold = np.repeat(~hot, count)
                 hot_docs = sd[~cold].astype("<u2")
-                header = np.stack([ids[lo:hi], n, d1.view(np.int64), d2.view(np.int64), lead], 1).astype("<i8")
+                header = np.stack([ids[lo:hi], n, d1.view(np.int64), d2.view(np.int64), lead, text_hash[lo:hi]], 1).astype("<i8")
                 number += 1
                 blocks = 1 << block_bits
                 out = [(number, -1, header.tobytes(), sh[starts[hot]].astype("<u8").tobytes(), count[hot].astype("<u2").tobytes(), hot_docs.tobytes())]
@@ -140,16 +147,14 @@ def _count(block_bits: int):
     """Per task, the blocks' entries that two documents or more hold, answered to their batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: dict[int, list] = defaultdict(list)
-        for rows in batches:
-            cols = [c.to_pylist() for c in rows.columns]
-            for _, batch, block, a, b, c, d in zip(*cols):
-                if block < 0:
-                    yield pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip((batch, batch, -1, a, b, c, d), _WIRE_ARROW)], schema=_WIRE_ARROW)
-                else:
-                    groups[block].append((batch, a, b, c, d))
-        for block in list(groups):
-            rows = groups.pop(block)
+        heads = iter(range(-1, -(1 << 62), -1))
+        for block, held in runs_by(rows_of(batches), lambda r: r[2] if r[2] >= 0 else next(heads)):
+            if block < 0:
+                for _, batch, _, *blobs in held:
+                    yield pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip((batch, batch, -1, *blobs), _WIRE_ARROW)], schema=_WIRE_ARROW)
+                continue
+            rows = [(r[1], *r[3:]) for r in held]
+            held.clear()
             hashes = [_unpack(r[1]) for r in rows]
             hots = [_unpack(r[3]) for r in rows]
             every = np.concatenate(hashes + hots)
@@ -174,8 +179,8 @@ def _count(block_bits: int):
     return run
 
 
-_DOCS = "doc_id long, n long, d1 long, d2 long, prefix array<long>, shared binary"
-_DOCS_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("prefix", pa.list_(pa.int64())), ("shared", pa.binary())])
+_DOCS = "doc_id long, n long, d1 long, d2 long, text_hash long, prefix array<long>, shared binary"
+_DOCS_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("text_hash", pa.int64()), ("prefix", pa.list_(pa.int64())), ("shared", pa.binary())])
 
 
 def _order(num: int, den: int, block_bits: int):
@@ -183,7 +188,7 @@ def _order(num: int, den: int, block_bits: int):
     shift = U(HASH_BITS - block_bits)
 
     def finish(header: tuple, answers: list) -> Iterator[pa.RecordBatch]:
-        h = np.frombuffer(header[0], "<i8").reshape(-1, 5)
+        h = np.frombuffer(header[0], "<i8").reshape(-1, 6)
         hot_hash = np.frombuffer(header[1], "<u8")
         hot_count = np.frombuffer(header[2], "<u2").astype(np.int64)
         hot_docs = np.frombuffer(header[3], "<u2").astype(np.int64)
@@ -212,20 +217,11 @@ def _order(num: int, den: int, block_bits: int):
             hi = min(len(h), lo + 2000)
             prefix = [(key[at[i] : at[i] + reach[i]] & mask).astype(np.int64).tolist() if live[i] else None for i in range(lo, hi)]
             shared = [key[at[i] : at[i + 1]].tobytes() if live[i] else None for i in range(lo, hi)]
-            yield pa.RecordBatch.from_arrays([*(pa.array(h[lo:hi, k]) for k in range(4)), pa.array(prefix, pa.list_(pa.int64())), pa.array(shared, pa.binary())], schema=_DOCS_ARROW)
+            yield pa.RecordBatch.from_arrays([*(pa.array(h[lo:hi, k]) for k in (0, 1, 2, 3, 5)), pa.array(prefix, pa.list_(pa.int64())), pa.array(shared, pa.binary())], schema=_DOCS_ARROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        headers: dict[int, tuple] = {}
-        answers: dict[int, list] = defaultdict(list)
-        for rows in batches:
-            cols = [c.to_pylist() for c in rows.columns]
-            for _, batch, block, a, b, c, d in zip(*cols):
-                if block < 0:
-                    headers[batch] = (a, b, c, d)
-                else:
-                    answers[batch].append((block, a, b, c, d))
-        for batch in list(headers):
-            yield from finish(headers.pop(batch), answers.pop(batch, []))
+        for _, held in runs_by(rows_of(batches), lambda r: r[1]):  # a batch's header comes first
+            yield from finish(held[0][3:], [r[2:] for r in held[1:]])
 
     return run
 
@@ -249,24 +245,32 @@ def _overlap(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.count_nonzero(y[at] == x))
 
 
-def verify_group(n: np.ndarray, sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """A spanning set of the links among members of one group.
+def verify_group(n: np.ndarray, sets: list[np.ndarray], side: np.ndarray, weight: np.ndarray, num: int, den: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """(a spanning set of the links among members of one group, weight of the members linked to each).
 
     n: set sizes; sets: each member's shared shingles as sort keys, rare first;
     side: 0 or 1, and where both occur only pairs across are looked at.
     """
     order = np.argsort(n, kind="stable")
-    n, side, sets = n[order], side[order], [sets[i] for i in order]
-    g, links = len(n), []
+    n, side, weight, sets = n[order], side[order], weight[order], [sets[i] for i in order]
+    g, links, linked = len(n), [], np.zeros(len(n), np.int64)
     label = np.arange(g)
     lone = [n[i] - len(sets[i]) for i in range(g)]  # shingles that nobody else has; they come first
     reach = [int(prefix_length(n[i], num, den) - lone[i]) for i in range(g)]
     cross = side.min() != side.max()
 
     def join(i: int, j: int) -> None:
-        links.append((int(order[i]), int(order[j])))
+        linked[i] += weight[j]
+        linked[j] += weight[i]
         a, b = label[i], label[j]
-        label[label == max(a, b)] = min(a, b)
+        if a != b:
+            links.append((int(order[i]), int(order[j])))
+            label[label == max(a, b)] = min(a, b)
+
+    def done():
+        out = np.empty(g, np.int64)
+        out[order] = linked
+        return links, out
 
     if g <= SMALL_GROUP:
         prefixes = [dict(zip(s[:r].tolist(), range(r))) for s, r in zip(sets, reach)]
@@ -274,7 +278,7 @@ def verify_group(n: np.ndarray, sets: list[np.ndarray], side: np.ndarray, num: i
             for i in range(j - 1, -1, -1):
                 if den * n[i] < num * n[j]:  # length filter: shorter ones fail too
                     break
-                if label[i] == label[j] or (cross and side[i] == side[j]):
+                if cross and side[i] == side[j]:
                     continue
                 a, b = prefixes[i], prefixes[j]
                 first = min(((p, b[t]) for t, p in a.items() if t in b), default=None)
@@ -286,7 +290,7 @@ def verify_group(n: np.ndarray, sets: list[np.ndarray], side: np.ndarray, num: i
                     continue
                 if _overlap(x, y) >= need:
                     join(i, j)
-        return links
+        return done()
 
     sizes = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(g), sizes)
@@ -312,56 +316,99 @@ def verify_group(n: np.ndarray, sets: list[np.ndarray], side: np.ndarray, num: i
     for j in range(g):
         cand = np.unique(owners(ptok, pown, sets[j][: reach[j]]))
         cand = cand[(cand < j) & (den * n[cand] >= num * n[j])]
-        cand = cand[label[cand] != label[j]]
         if cross:
             cand = cand[side[cand] != side[j]]
         if not len(cand):
             continue
         need = required(n[cand], n[j], num, den)
         if len(cand) <= 8:
-            for i, k in zip(cand[::-1].tolist(), need[::-1].tolist()):
-                if label[i] != label[j] and min(sizes[i], sizes[j]) >= k and not _suffix_prunes(sets[i], sets[j], k) and _overlap(sets[i], sets[j]) >= k:
+            for i, k in zip(cand.tolist(), need.tolist()):
+                if min(sizes[i], sizes[j]) >= k and not _suffix_prunes(sets[i], sets[j], k) and _overlap(sets[i], sets[j]) >= k:
                     join(i, j)
             continue
         both = np.bincount(owners(ftok, fown, sets[j]), minlength=g)[cand]
-        for i in cand[both >= need].tolist():
+        hit = cand[both >= need]
+        linked[hit] += weight[j]
+        linked[j] += weight[hit].sum()
+        new = label[hit]
+        for i in hit[np.unique(new, return_index=True)[1]].tolist():  # one link to each part not yet joined
             if label[i] != label[j]:
+                linked[i] -= weight[j]
+                linked[j] -= weight[i]
                 join(i, j)
-    return links
+    return done()
+
+
+#: Output of the verifiers: a link (a, b), or with b null that k more rows are linked to class a.
+_LINKS = "a long, b long, k long"
+_LINKS_ARROW = pa.schema([(c, pa.int64()) for c in "abk"])
+
+
+def _link_rows(a: list, b: list, k: list) -> Iterator[pa.RecordBatch]:
+    if a:
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, k)], schema=_LINKS_ARROW)
 
 
 def _verify(num: int, den: int):
-    def flush(now: tuple | None, rows: list) -> tuple[list, list]:
-        if len(rows) < 2:
-            return [], []
-        ids = np.array([r[0] for r in rows])
-        side = np.array([r[2] for r in rows])
-        if now[1] != now[2] and side.min() == side.max():
-            return [], []  # the other chunk has no member
-        found = verify_group(np.array([r[1] for r in rows]), [np.frombuffer(r[3], "<u8") for r in rows], side, num, den)
-        return [int(ids[i]) for i, _ in found], [int(ids[j]) for _, j in found]
+    """Rows (component, i, j, cls, n, weight, chunk, shared) in order of the first three."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, i, j), rows in runs_by(rows_of(batches), lambda r: r[:3]):
+            side = np.array([int(r[6] == j and i != j) for r in rows])
+            if len(rows) < 2 or (i != j and side.min() == side.max()):
+                continue  # the other chunk has no member
+            cls = [r[3] for r in rows]
+            links, linked = verify_group(np.array([r[4] for r in rows]), [np.frombuffer(r[7], "<u8") for r in rows], side, np.array([r[5] for r in rows]), num, den)
+            yield from _link_rows([cls[x] for x, _ in links], [cls[y] for _, y in links], [0] * len(links))
+            some = np.flatnonzero(linked)
+            yield from _link_rows([cls[x] for x in some], [None] * len(some), linked[some].tolist())
+
+    return run
+
+
+def _verify_pairs(num: int, den: int):
+    """Rows (a, b, sizes, weights and shared shingles of both), a pair each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows = None, []
         for batch in batches:
-            a, b = [], []
-            for comp, i, j, cls, n, chunk, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                if (comp, i, j) != now:
-                    x, y = flush(now, rows)
-                    a += x
-                    b += y
-                    now, rows = (comp, i, j), []
-                rows.append((cls, n, int(chunk == j and i != j), raw))
-            if a:
-                yield pa.RecordBatch.from_pydict({"a": a, "b": b})
-        a, b = flush(now, rows)
-        if a:
-            yield pa.RecordBatch.from_pydict({"a": a, "b": b})
+            out: list[tuple] = []
+            for a, b, na, nb, wa, wb, sa, sb in rows_of([batch]):
+                need = int(required(na, nb, num, den))
+                x, y = np.frombuffer(sa, "<u8"), np.frombuffer(sb, "<u8")
+                if min(len(x), len(y)) >= need and not _suffix_prunes(x, y, need) and _overlap(x, y) >= need:
+                    out += [(a, b, 0), (a, None, wb), (b, None, wa)]
+            if out:
+                yield from _link_rows(*map(list, zip(*out)))
 
     return run
 
 
-def ngram_jaccard_classes(docs: DataFrame, *, width: int = 5, num: int = 80, den: int = 100, batch_bytes: int = 4 << 20, chunk_entries: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _join_postings(members: DataFrame, num: int, den: int, posting_run: int) -> DataFrame:
+    """Links among ``members`` (cls, n, weight, prefix, shared) by a join on prefix shingles.
+
+    A shingle's postings are dealt into runs, and runs are joined in pairs, so that a
+    frequent shingle is many small tasks. Pairs pass the length and positional filters.
+    """
+    post = members.select("cls", "n", F.size("prefix").alias("reach"), (F.octet_length("shared") / 8).cast("bigint").alias("m"), F.posexplode("prefix").alias("pos", "token"))
+    post = keep(post, "ngram-postings")
+    held = post.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").withColumn("runs", F.ceil(F.col("df") / posting_run).cast("int"))
+    post = post.join(held, "token").withColumn("run", F.pmod(F.xxhash64("cls"), F.col("runs")).cast("int"))
+    post = post.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)))
+    post = post.withColumns({"i": F.least("run", "other"), "j": F.greatest("run", "other")})
+    x, y = (post.select("token", "i", "j", "run", *(F.col(c).alias(f"{c}_{side}") for c in ("cls", "n", "m", "pos"))).withColumnRenamed("run", f"run_{side}") for side in "xy")
+    fits = (F.col("cls_x") < F.col("cls_y")) & ((F.col("i") == F.col("j")) | (F.col("run_x") != F.col("run_y")))
+    longer, shorter = F.greatest("n_x", "n_y"), F.least("n_x", "n_y")
+    need = F.ceil(F.lit(num) * (F.col("n_x") + F.col("n_y")) / F.lit(den + num))
+    # Positional: past this shingle both have at most m - pos - 1 left, before it at most min(pos) are common.
+    room = F.least("pos_x", "pos_y") + 1 + F.least(F.col("m_x") - F.col("pos_x"), F.col("m_y") - F.col("pos_y")) - 1
+    pairs = x.join(y, ["token", "i", "j"]).where(fits & (den * shorter >= num * longer) & (room >= need)).select(F.col("cls_x").alias("a"), F.col("cls_y").alias("b")).distinct()
+    sets = members.select("cls", "n", "weight", "shared")
+    of = lambda side: sets.select(*(F.col(c).alias(f"{side}_{c}") for c in sets.columns))
+    full = pairs.join(of("l"), F.col("a") == F.col("l_cls")).join(of("r"), F.col("b") == F.col("r_cls"))
+    return arrow_map(full.select("a", "b", "l_n", "r_n", "l_weight", "r_weight", "l_shared", "r_shared"), _verify_pairs(num, den), _LINKS)
+
+
+def ngram_jaccard_classes(docs: DataFrame, *, width: int = 5, num: int = 80, den: int = 100, batch_bytes: int = 4 << 20, chunk_entries: int = 250_000, most_chunks: int = 32, posting_run: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Near-duplicate classes of texts whose ``width``-word shingle sets have Jaccard >= num/den.
 
     Texts are A-Z lower-cased; words are ``[^\\x20\\x09-\\x0D]+``. A text of fewer
@@ -369,27 +416,33 @@ def ngram_jaccard_classes(docs: DataFrame, *, width: int = 5, num: int = 80, den
     white text has none and links with nothing. Repeated rows are kept as rows; a
     null id is kept, alone.
 
-    Returns one row per input row: ``doc_id``, ``n_shingles`` and ``component_id``
-    (smallest id reachable through links, itself included). Other columns of
+    Returns one row per input row: ``doc_id``, ``n_shingles``, ``component_id``
+    (smallest id reachable through links, itself included), ``n_links`` (other rows
+    that this one is linked with), ``set_hash`` (of its shingles; null without any)
+    and ``text_hash`` (``xxhash64`` of the text), which tell rows apart that share an
+    id: each of their texts has links and a class of its own. Other columns of
     ``docs`` are not read, so their names can't clash.
     """
     spark = docs.sparkSession
-    wide = shuffle_width(spark)
-    bits = max(8, min(20, int(math.ceil(math.log2(2 * wide)))))
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    total = text_bytes(texts)
+    wide = max(shuffle_width(spark), -(-total // TASK_BYTES))
+    bits = max(8, min(16, (total // BLOCK_BYTES).bit_length()))
     nameless = texts.where("doc_id is null")
     texts = texts.where("doc_id is not null")
-    sent = arrow_map(texts, _send(width, bits, batch_bytes), _WIRE).repartition(wide, "part")
-    counted = arrow_map(sent, _count(bits), _WIRE).repartition(wide, "batch")
+    sent = arrow_map(texts, _send(width, bits, batch_bytes), _WIRE).repartition(wide, "part").sortWithinPartitions("block")
+    counted = arrow_map(sent, _count(bits), _WIRE).repartition(wide, "batch").sortWithinPartitions("batch", "block")
     with small_batches(spark):
         sets = keep(arrow_map(counted, _order(num, den, bits), _DOCS), "ngram-sets")
 
     full = sets.where("n > 0")
-    classes = keep(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("cls"), F.min(F.expr("if(shared is not null, doc_id, null)")).alias("carrier")), "ngram-classes")
-    carriers = classes.where("carrier is not null").select(F.col("carrier").alias("doc_id"), "cls", "d1", "d2")
-    # d1, d2 guard against a repeated id that stands for two texts.
+    repeats = _repeats(full)
+    classes = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("low"), F.count("*").alias("weight"), F.min(F.expr("if(shared is not null, doc_id, null)")).alias("carrier"))
+    # A class is known by its least id, where ids repeat by its set's digest.
+    classes = keep(classes.withColumn("cls", F.col("d1" if repeats else "low")), "ngram-classes")
+    carriers = classes.where("carrier is not null").select(F.col("carrier").alias("doc_id"), "cls", "weight", "d1", "d2")
     led = full.where("shared is not null").join(carriers, ["doc_id", "d1", "d2"])
-    if _repeats(full):
+    if repeats:
         led = led.dropDuplicates(["cls"])
     span = F.lit(math.log(den / num) * 1.0001 if num < den else 1e-9)
     step = F.floor(F.log(F.col("n").cast("double")) / span).cast("bigint")
@@ -399,21 +452,31 @@ def ngram_jaccard_classes(docs: DataFrame, *, width: int = 5, num: int = 80, den
     groups = components(nodes.join(pivots, "node").where("cls <> low").select("cls", "low"))
     groups = keep(groups, "ngram-groups")
 
-    members = keep(led.select("cls", "n", "shared").join(groups, F.col("cls") == F.col("id")).select("component", "cls", "n", "shared"), "ngram-members")
+    members = keep(led.select("cls", "n", "weight", "prefix", "shared").join(groups, F.col("cls") == F.col("id")).select("component", "cls", "n", "weight", "prefix", "shared"), "ngram-members")
     size = members.groupBy("component").agg(F.sum(F.octet_length("shared") / 8).alias("entries"))
-    size = size.select("component", F.greatest(F.lit(1), F.ceil(F.col("entries") / chunk_entries)).cast("int").alias("parts"))
-    chunked = members.join(size, "component").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+    size = keep(size.select("component", F.greatest(F.lit(1), F.ceil(F.col("entries") / chunk_entries)).cast("int").alias("parts")), "ngram-sizes")
+    chunked = members.join(size.where(F.col("parts") <= most_chunks), "component").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
     pairs = chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    pairs = pairs.select("component", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "cls", "n", "chunk", "shared")
+    pairs = pairs.select("component", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "cls", "n", "weight", "chunk", "shared")
     pairs = pairs.repartition(wide, "component", "i", "j").sortWithinPartitions("component", "i", "j")
-    links = arrow_map(pairs, _verify(num, den), "a long, b long")
-    linked = components(links)
-
-    named = full.select("doc_id", "n", "d1", "d2").join(classes.select("d1", "d2", "cls"), ["d1", "d2"])
-    named = named.join(linked, F.col("cls") == F.col("id"), "left")
-    out = named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "cls").alias("component_id"))
-    none = sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    lost = nameless.select("doc_id", F.lit(None).cast("bigint").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    found = arrow_map(pairs, _verify(num, den), _LINKS)
+    wide_groups = size.where(F.col("parts") > most_chunks)
+    if wide_groups.limit(1).count():
+        found = found.unionByName(_join_postings(members.join(wide_groups.select("component"), "component", "left_semi"), num, den, posting_run))
+    found = keep(found, "ngram-links")
+    linked = components(found.where("b is not null").select("a", "b"))
+    if repeats:
+        lows = linked.join(classes.select("cls", "low"), F.col("cls") == F.col("id")).groupBy("component").agg(F.min("low").alias("least"))
+        linked = linked.join(lows, "component").select("id", F.col("least").alias("component"))
+    counts = found.where("b is null").groupBy("a").agg(F.sum("k").alias("others"))
+
+    named = full.select("doc_id", "n", "d1", "d2", "text_hash").join(classes.select("d1", "d2", "cls", "low", "weight"), ["d1", "d2"])
+    named = named.join(linked, F.col("cls") == F.col("id"), "left").join(counts, F.col("cls") == F.col("a"), "left")
+    links = (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")
+    out = named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "low").alias("component_id"), links, F.col("d1").alias("set_hash"), "text_hash")
+    nothing = [F.lit(0).cast("bigint").alias("n_links"), F.lit(None).cast("bigint").alias("set_hash"), "text_hash"]
+    none = sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *nothing)
+    lost = nameless.select("doc_id", F.lit(None).cast("bigint").alias("n_shingles"), F.col("doc_id").alias("component_id"), *nothing)
     return out.unionByName(none).unionByName(lost)
 
 
@@ -426,11 +489,14 @@ def _repeats(sets: DataFrame) -> bool:
 def keep_one_per_class(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """One row of ``docs`` for each class, all its columns as they were.
 
-    It is the row whose id is the class's component id, one of them if rows repeat
-    that id. A row without an id was compared with nothing and stays.
+    It is the row whose id is the class's component id. Where rows repeat that id,
+    each set of shingles among them keeps one row. A row without an id was compared
+    with nothing and stays.
     """
-    kept = classes.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).select(F.col("doc_id").alias("__kept_id"), "n")
-    out = docs.join(kept.select("__kept_id"), docs["doc_id"] == F.col("__kept_id"), "left_semi")
-    if kept.where("n > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id"])
+    lead = classes.where("doc_id = component_id").groupBy("doc_id", "set_hash").agg(F.min("text_hash").alias("text_hash"), F.count("*").alias("rows"))
+    lead = keep(lead.select(F.col("doc_id").alias("__kept_id"), F.col("text_hash").alias("__kept_hash"), "rows"), "ngram-kept")
+    same = (docs["doc_id"] == F.col("__kept_id")) & F.xxhash64(docs["text"].cast("string")).eqNullSafe(F.col("__kept_hash"))
+    out = docs.join(lead.select("__kept_id", "__kept_hash"), same, "left_semi")
+    if lead.where("rows > 1").limit(1).count():
+        out = out.withColumn("__text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "__text_hash"]).drop("__text_hash")
     return out.unionByName(docs.where(docs["doc_id"].isNull()))

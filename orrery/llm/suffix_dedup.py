@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import grams
-from .common import arrow_map, keep, settle, shuffle_width, slabs, small_batches, text_buffers
+from .common import arrow_map, keep, rows_of, runs_by, settle, shuffle_width, slabs, small_batches, text_buffers
 
 U = np.uint64
 GRAM = 32
@@ -61,28 +61,11 @@ def _emit(rows: list, schema: pa.Schema = _WIRE_ARROW) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, schema)], schema=schema)
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """One row at a time, so that only that row's bytes are copied."""
-    for batch in batches:
-        columns = batch.columns
-        for k in range(batch.num_rows):
-            yield tuple(c[k].as_py() for c in columns)
-
-
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
-    """(block, its rows) from wire rows in block order; only one block is held."""
-    now, held = None, []
-    for row in _rows(batches):
-        if row[2] != now and held:
-            yield now, held
-            held = []
-        now = row[2]
-        held.append(row)
-        if now < 0:  # settled spans pass through one by one
-            yield now, held
-            held = []
-    if held:
-        yield now, held
+    """(block, its rows) from wire rows in block order; settled spans come one by one."""
+    spans = iter(range(-1, -(1 << 62), -1))
+    for key, rows in runs_by(rows_of(batches), lambda r: r[2] if r[2] >= 0 else next(spans)):
+        yield max(key, -1), rows
 
 
 def _bundle(batch_bytes: int):
@@ -203,7 +186,7 @@ def _announce(length: int, bits: int):
     """Each batch's distinct samples with their context counts, to their buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, ids, offs, body in _rows(batches):
+        for batch, ids, offs, body in rows_of(batches):
             h, contexts, _ = _Batch(ids, offs, body, length).sample()
             cut, n = _bounds(h, bits), np.minimum(contexts, 65535).astype("<u2")
             low = h & U((1 << 48) - 1)
@@ -235,7 +218,7 @@ def _suffixes(length: int, bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=LEVEL)
-        for batch, ids, offs, body, answers in _rows(batches):
+        for batch, ids, offs, body, answers in rows_of(batches):
             x = _Batch(ids, offs, body, length)
             h, contexts, occurs = x.sample()
             x.confirm()
@@ -410,7 +393,7 @@ def _apply(length: int, schema: pa.Schema, with_text: bool):
     """Per document what is left; with_text: the rows as they came, with the bytes that stay as text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, offs, body, rest, answers in _rows(batches):
+        for ids, offs, body, rest, answers in rows_of(batches):
             x = _Batch(ids, offs, body, length)
             size = len(x.data)
             edge = np.zeros(size + 1, np.int32)

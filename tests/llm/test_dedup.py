@@ -36,23 +36,35 @@ def brute_join(rows, width, num, den):
         sets.append((i, s))
     links = [(i, j) for x, (i, s) in enumerate(sets) for j, u in sets[:x] if s and u and den * len(s & u) >= num * len(s | u)]
     r = roots(links, {i for i, _ in sets})
-    return Counter((i, len(s), r[i]) for i, s in sets)
+    many = Counter(x for link in ((k, j) for k, (_, s) in enumerate(sets) for j, (_, u) in enumerate(sets[:k]) if s and u and den * len(s & u) >= num * len(s | u)) for x in link)
+    return Counter((i, len(s), r[i], many[k]) for k, (i, s) in enumerate(sets))
 
 
 @pytest.mark.parametrize("width,num,den", [(3, 90, 100), (5, 80, 100), (1, 50, 100)])
 def test_join_equals_brute_force(docs, width, num, den):
     got = ngram_join.ngram_jaccard_classes(docs, width=width, num=num, den=den, batch_bytes=4000)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    found = Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.where("doc_id is not null").collect())
+    found = Counter((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got.where("doc_id is not null").collect())
     assert found == brute_join(rows, width, num, den)
     assert got.where("doc_id is null").count() == 1
 
 
-def test_join_split_groups(docs):
-    """Chunk pairs cover what one task would."""
-    small = ngram_join.ngram_jaccard_classes(docs, width=3, num=90, den=100, chunk_entries=60)
+@pytest.mark.parametrize("most_chunks,num", [(100, 90), (1, 90), (1, 70)])
+def test_join_split_groups(docs, most_chunks, num):
+    """Chunk pairs, or a join of postings in runs, cover what one task would."""
+    small = ngram_join.ngram_jaccard_classes(docs, width=3, num=num, den=100, chunk_entries=60, most_chunks=most_chunks, posting_run=4)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in small.where("doc_id is not null").collect()) == brute_join(rows, 3, 90, 100)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in small.where("doc_id is not null").collect()) == brute_join(rows, 3, num, 100)
+
+
+def test_repeated_ids_with_other_texts(spark):
+    """A text of a repeated id is kept or dropped on its own."""
+    words = [" ".join(f"{k}w{i}" for i in range(60)) for k in range(3)]
+    rows = [(3, words[0]), (5, words[0] + " end"), (5, words[1]), (6, words[1]), (7, words[2]), (7, words[2])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    classes = ngram_join.ngram_jaccard_classes(docs)
+    assert Counter((r.doc_id, r.component_id, r.n_links) for r in classes.collect()) == Counter({(3, 3, 1): 1, (5, 3, 1): 1, (5, 5, 1): 1, (6, 5, 1): 1, (7, 7, 1): 2})
+    assert Counter(map(tuple, ngram_join.keep_one_per_class(docs, classes).collect())) == Counter([rows[0], rows[2], rows[4]])
 
 
 def test_verify_group_large_equals_small():
@@ -64,9 +76,10 @@ def test_verify_group_large_equals_small():
         sets.append(s)
         n.append(len(s))
     n = np.array(n)
-    links = ngram_join.verify_group(n, sets, np.zeros(70, int), 80, 100)
+    links, linked = ngram_join.verify_group(n, sets, np.zeros(70, int), np.full(70, 2), 80, 100)
     brute = [(i, j) for i in range(70) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))]
     assert roots(links, range(70)) == roots(brute, range(70))
+    assert linked.tolist() == [2 * sum(k in pair for pair in brute) for k in range(70)]
 
 
 def test_keep_one(docs, no_docs):
