@@ -24,14 +24,12 @@ U = np.uint64
 
 @dataclass(frozen=True)
 class RepetitionRules:
-    """Largest share of word characters inside repeats that a kept document may have.
+    """Largest shares that a kept document may have: of word characters inside repeats, by n-gram
+    length and in lines (published values), and of symbols to words."""
 
-    The published shares for these lengths (0.15 down to 0.10) are doubled: at those, one
-    sentence that a clean text of 80 words says twice would reject it.
-    """
-
-    grams: tuple[tuple[int, float], ...] = ((5, 0.30), (6, 0.28), (7, 0.26), (8, 0.24), (9, 0.22), (10, 0.20))
-    lines: float = 0.30
+    grams: tuple[tuple[int, float], ...] = ((5, 0.15), (6, 0.14), (7, 0.13), (8, 0.12), (9, 0.11), (10, 0.10))
+    lines: float = 0.20
+    symbols: float = 0.10
     least_words: int = 50
     repeat_percent: int = 50
 
@@ -119,7 +117,7 @@ def measure(data: np.ndarray, offs: np.ndarray, rules: RepetitionRules) -> dict[
 
     words, word_chars = out["n_words"], out["word_chars"]
     out["base_failed"] = (words < rules.least_words) | (100 * out["n_repeat_words"] > rules.repeat_percent * words)
-    good = out["dup_line_chars"] <= rules.lines * word_chars
+    good = (out["dup_line_chars"] <= rules.lines * word_chars) & (out["n_symbols"] <= rules.symbols * words)
     for n, share in rules.grams:
         good &= out[f"dup_{n}gram_chars"] <= share * word_chars
     out["kept"] = good & ~out["base_failed"]
@@ -152,7 +150,8 @@ def repetition_quality(docs: DataFrame, rules: RepetitionRules = RepetitionRules
     Words are ``[^\\x20\\x09-\\x0D]+``; a null text has none. Returns doc_id, n_words,
     word_chars, n_symbols, n_dup_lines, n_repeat_words (words in 3-word windows that
     the text has twice or more), base_failed (too few words, or too large a share of
-    them repeated), kept, and the characters that the verdict weighs. One row per
+    them repeated), kept, and the characters inside duplicated n-grams and lines that
+    the verdict weighs, as it does symbols to words. One row per
     input row, null ids and repeated rows included; other columns are not read.
     """
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -172,5 +171,10 @@ def _keep_rows(rules: RepetitionRules, text_at: int, slab: int):
 
 
 def keep_good(docs: DataFrame, rules: RepetitionRules = RepetitionRules(), slab: int = 2 << 20) -> DataFrame:
-    """The rows of ``docs`` whose text the rules keep, with all their columns, without a shuffle."""
-    return arrow_map(docs, _keep_rows(rules, docs.columns.index("text"), slab), docs.schema)
+    """The rows of ``docs`` whose text the rules keep, with all their columns, without a shuffle.
+
+    A null text is empty and goes, as it has too few words. The column of texts is found by
+    name as Spark finds it, whatever the case of its letters.
+    """
+    at = [c.lower() for c in docs.columns].index("text")
+    return arrow_map(docs, _keep_rows(rules, at, slab), docs.schema)
