@@ -17,12 +17,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep, shuffle_width, text_bytes
 
 BLOCK_BITS, KEY_BITS = 12, 60
 WORD = r"[^\x20\x09-\x0D]+"
 #: Sources up to which their table of passes is broadcast; beyond, it is joined by shuffle.
 BROADCAST_SOURCES = 20_000
+#: Text bytes of a range of the mixed order, about.
+ORDER_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -131,6 +133,15 @@ def _copies(key: Column) -> Column:
     return (F.col("__mix_whole") + F.when(key <= F.col("__mix_last"), 1).otherwise(0)).cast("int")
 
 
+def _position(epoch: Column, key: Column, seed: str) -> Column:
+    """Where a use stands: a pass's blocks, and the keys of a block, are permuted by the pass's own digests."""
+    block = F.shiftright(key, KEY_BITS - BLOCK_BITS)
+    turn = lambda what: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), epoch, what)), 1, 12), 16, 10).cast("double") / float(1 << 48)
+    inside = (turn(block) + turn(key) / float(1 << BLOCK_BITS)) / (1 + 1 / float(1 << BLOCK_BITS))
+    span = F.col("__mix_whole") + F.when(F.col("__mix_last") >= 0, F.lit(1)).otherwise(0)
+    return (epoch - 1 + inside) / F.greatest(span, F.lit(1))
+
+
 def mix_schedule(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """A row per use of a document: doc_id, source, tokens, epoch, block, position.
 
@@ -145,18 +156,24 @@ def mix_schedule(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     rows = _with_passes(narrow, table, F.col("source") == F.col("__mix_source"))
     rows = rows.withColumn("copies", _copies(F.col("key"))).where("copies > 0")
     rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    turn = lambda what: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(mix.seed), "epoch", what)), 1, 12), 16, 10).cast("double") / float(1 << 48)
-    inside = (turn(F.col("block")) + turn(F.col("key")) / float(1 << BLOCK_BITS)) / (1 + 1 / float(1 << BLOCK_BITS))
-    span = F.col("__mix_whole") + F.when(F.col("__mix_last") >= 0, F.lit(1)).otherwise(0)
-    position = (F.col("epoch") - 1 + inside) / F.greatest(span, F.lit(1))
+    position = _position(F.col("epoch"), F.col("key"), mix.seed)
     return rows.select("doc_id", "source", "tokens", "epoch", "block", position.alias("position"))
 
 
 def mix_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """``docs`` with every row as often as the mix uses it, all columns as they were."""
+    """``docs`` with every row as often as the mix uses it, in the mixed order, all columns as they were.
+
+    The order is that of ``mix_schedule``'s positions; rows are dealt to ranges of positions and
+    sorted there, so copies of a document stand passes apart.
+    """
     narrow = keep(_narrow(docs, mix.seed), "mix-rows")
     table = keep(passes(narrow, mix), "mix-passes")
     rows = _with_passes(docs, table, F.coalesce(docs["source"].cast("string"), F.lit("")) == F.col("__mix_source"))
     rows = rows.withColumn("__mix_copies", _copies(_key(docs["doc_id"], mix.seed))).where("__mix_copies > 0")
     rows = rows.withColumn("__mix_epoch", F.explode(F.sequence(F.lit(1), F.col("__mix_copies"))))
+    key = _key(docs["doc_id"], mix.seed)
+    rows = rows.withColumn("__mix_position", _position(F.col("__mix_epoch"), key, mix.seed))
+    # Positions are even over [0, 1): ranges need no sample of the rows.
+    width = max(shuffle_width(docs.sparkSession), -(-text_bytes(docs) // ORDER_BYTES))
+    rows = rows.repartitionById(width, F.least(F.floor(F.col("__mix_position") * width), F.lit(width - 1)).cast("int")).sortWithinPartitions("__mix_position")
     return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
