@@ -269,7 +269,8 @@ def pack_sequences(docs: DataFrame, tokenizer: str, *, capacity: int = 4096, eos
     histogram = {r["length"]: r["count"] for r in counts.groupBy("length").agg(F.sum("count").alias("count")).collect()}
     plan = minimum_bin_slack(histogram, capacity)
     before = F.sum("count").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    base = counts.select(F.col("part").alias("p"), F.col("length").alias("l"), F.coalesce(before, F.lit(0)).alias("base"))
+    # Grows with tasks times lengths, and each piece needs one row of it: joined by shuffle, never broadcast.
+    base = counts.select(F.col("part").alias("p"), F.col("length").alias("l"), F.coalesce(before, F.lit(0)).alias("base")).hint("shuffle_hash")
     ranked = pieces.join(base, (pieces.part == base.p) & (pieces.length == base.l))
     ranked = ranked.select("doc_id", "start", "length", (F.col("rank") + F.col("base")).alias("rank"), "ids_crc32", "doc_tokens", "doc_crc")
     rows = np.array(plan.rows or np.zeros((0, 9)), np.int64).reshape(-1, 9)
