@@ -27,8 +27,8 @@ from .components import components, local_roots
 
 U = np.uint64
 BUCKET_TARGET = 512
-#: (tables, k, probes) of vector sizes beyond the 10,000 most frequent.
-RARE = (8, 1, 2)
+#: Vector sizes, the most frequent ones, that get tables of their own; others are compared exactly.
+MEASURED_SIZES = 10_000
 
 
 @lru_cache(maxsize=64)
@@ -99,7 +99,7 @@ def choose_tables(dim: int, k: int, probes: int, cosine: float, seed: int, miss:
             missed &= ~(x[:, t, :, None] == y[:, t, None, :]).any((1, 2))
             if missed.mean() <= miss:
                 return t + 1
-    return most
+    raise ValueError(f"{most} tables of {k} hashes miss {missed.mean():.3f} of pairs at cosine {cosine}: use fewer hashes or more probes")
 
 
 _VECTORS = "vec_id long, dim int, d1 long, d2 long, vec binary"
@@ -140,7 +140,8 @@ def _deal(shape: dict[int, tuple[int, int, int]], seed: int):
                     at = pa.array(who)
                     vecs = raw.take(at)
                     x = np.frombuffer(b"".join(vecs.to_pylist()), "<f8").reshape(len(who), dim)
-                    b = buckets(_unit(x), *shape.get(dim, RARE), seed)
+                    # A size too rare for tables of its own has one bucket, whose chunk pairs cover all pairs.
+                    b = buckets(_unit(x), *shape[dim], seed) if dim in shape else np.full((len(who), 1), int(grams.mix(np.array([dim], np.uint64))[0]) >> 1)
                     order = np.sort(b, 1)
                     fresh = np.ones(b.shape, bool)
                     fresh[:, 1:] = order[:, 1:] != order[:, :-1]
@@ -163,6 +164,7 @@ def verify_bucket(bucket: int, side: np.ndarray, ids: np.ndarray, weight: np.nda
     else:
         a = b = np.arange(len(ids))
     unit = _unit(x)
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])  # exact, and no product overflows
     rows, cols = [], []
     for lo in range(0, len(a), 1024):
         i, j = np.nonzero(unit[a[lo : lo + 1024]] @ unit[b].T >= cosine - 1e-9)
@@ -238,7 +240,7 @@ def near_vectors(vectors: DataFrame, *, cosine: float = 0.9, seed: int = 11, chu
     reps = valid.select("vec_id", "d1", "d2", "vec").join(classes, ["d1", "d2"]).where("vec_id = rep").dropDuplicates(["rep", "d1", "d2"])
     reps = keep(reps.select("rep", "dim", "weight", "vec"), "vec-reps")
     shape = {}
-    for r in reps.groupBy("dim").count().orderBy(F.desc("count")).limit(10_000).collect():
+    for r in reps.groupBy("dim").count().orderBy(F.desc("count")).limit(MEASURED_SIZES).collect():
         wide = 2 << max(0, (r["dim"] - 1).bit_length())
         k = max(1, int(np.ceil(np.log(max(1, r["count"] / BUCKET_TARGET)) / np.log(max(wide, 4)) - 1e-9)))
         probes = 2 if k == 1 else 4

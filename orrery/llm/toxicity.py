@@ -1,10 +1,18 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 A clause becomes a string of symbols: insult and threat words with a weight, target,
-negation and reported-speech words, gaps. Four small weighted transducers read it:
-insults and threats put out their weight; a target before them raises it, a negation
-close before lowers it, and reported speech in the clause lowers it. They are composed
-into one table, and a clause's score is what the composition puts out along it.
+negation and reported-speech words, gaps. Five weighted transducers read it, each a
+factor on the weight of an insult or threat:
+
+* insult: one that follows another at once weighs more;
+* threat: a threat word alone weighs little ("kill the process"), one with its target
+  after it ("I will kill you") or before it ("you will be killed") much;
+* target: an insult with a target weighs more, before ("you idiot") or after it;
+* negation: one close before lowers what follows;
+* reported speech: it lowers insults and threats on either side of it in its clause.
+
+Left to right all five are composed into one table, and right to left those that look
+at what follows; a clause's score is the sum of weights times both outputs along it.
 
 Weights of insult stems are learned: word prefixes (and whole words) of labelled
 texts, kept where their share among toxic texts is significant. Clause scores give a
@@ -30,10 +38,12 @@ U = np.uint64
 
 # Seed words of each transducer, before any label is seen.
 INSULTS = "idiot moron stupid loser scum trash worthless pathetic disgusting clown dumb imbecile fool vermin filth garbage subhuman bastard".split()
-THREATS = "kill murder hurt shoot stab destroy strangle burn lynch exterminate töten umbringen tuer matar".split()
+THREATS = "kill murder hurt shoot shot stab stabbed stabbing destroy strangle strangled burn lynch exterminate exterminated töten getötet umbringen umgebracht tuer tué matar".split()
 TARGETS = "you your yours yourself u ur they them their he she his her du dich dein sie ihr tu te toi vous votre ils elle tú usted ustedes vosotros".split()
-NEGATIONS = "not no never neither nor without cannot dont isnt arent wasnt nicht kein keine nie niemals pas jamais aucun sin nunca ni".split()
+NEGATIONS = "not no never neither nor without cannot don isn aren wasn weren doesn didn won wouldn shouldn couldn ain don’t isn’t aren’t wasn’t weren’t doesn’t didn’t won’t wouldn’t shouldn’t couldn’t can’t ain’t dont isnt arent wasnt nicht kein keine nie niemals pas jamais aucun sin nunca ni".split()
 REPORTS = "said says say told wrote writes quoted quote quotes claimed claims reported according sagte sagt schrieb laut dit disait selon écrit dijo dice escribió según".split()
+#: Endings of seed insults and threats.
+ENDINGS = ("", "s", "es", "d", "ed", "er", "ers", "ing")
 SEED_WEIGHT = 3.0
 
 NONE, INSULT, THREAT, TARGET, NEGATION, REPORT, GAP = range(7)
@@ -52,10 +62,16 @@ class Transducer:
         return self.arcs.get((state, symbol), (state, 1.0))
 
 
-INSULT_T = Transducer(1, {})
-TARGET_T = Transducer(2, {(0, TARGET): (1, 1.0), (1, INSULT): (1, 1.5), (0, THREAT): (0, 0.2), (1, THREAT): (1, 1.5)})
+INSULT_T = Transducer(2, {(0, INSULT): (1, 1.0), (1, INSULT): (1, 1.2), (1, GAP): (0, 1.0)})
+THREAT_T = Transducer(2, {(0, TARGET): (1, 1.0), (1, THREAT): (1, 2.0)})
+TARGET_T = Transducer(2, {(0, TARGET): (1, 1.0), (1, INSULT): (1, 1.5)})
 NEGATION_T = Transducer(2, {(0, NEGATION): (1, 1.0), (1, GAP): (0, 1.0), (1, INSULT): (0, 0.3), (1, THREAT): (0, 0.3)})
 REPORT_T = Transducer(2, {(0, REPORT): (1, 1.0), (1, INSULT): (1, 0.6), (1, THREAT): (1, 0.6)})
+#: The same from right to left: what stands after the word.
+THREAT_BACK = Transducer(2, {(0, TARGET): (1, 1.0), (0, THREAT): (0, 0.3), (1, THREAT): (1, 1.5)})
+TARGET_BACK = Transducer(2, {(0, TARGET): (1, 1.0), (1, INSULT): (1, 1.2), (1, GAP): (0, 1.0)})
+FORWARD = (INSULT_T, THREAT_T, TARGET_T, NEGATION_T, REPORT_T)
+BACKWARD = (THREAT_BACK, TARGET_BACK, REPORT_T)
 
 
 def compose(parts: tuple[Transducer, ...]) -> tuple[list[list[int]], list[list[float]]]:
@@ -78,7 +94,23 @@ def compose(parts: tuple[Transducer, ...]) -> tuple[list[list[int]], list[list[f
 
 @lru_cache(maxsize=1)
 def grammar():
-    return compose((INSULT_T, TARGET_T, NEGATION_T, REPORT_T))
+    """Tables of both compositions."""
+    return compose(FORWARD), compose(BACKWARD)
+
+
+def read_clause(symbols: list[int], weights: list[float]) -> float:
+    """Score of a clause: each insult's and threat's weight times the outputs of both readings."""
+    (nxt, out), (back, back_out) = grammar()
+    factor, state = [1.0] * len(symbols), 0
+    for k in range(len(symbols) - 1, -1, -1):
+        factor[k] = back_out[state][symbols[k]]
+        state = back[state][symbols[k]]
+    score, state = 0.0, 0
+    for s, w, f in zip(symbols, weights, factor):
+        if s == INSULT or s == THREAT:
+            score += w * f * out[state][s]
+        state = nxt[state][s]
+    return score
 
 
 _LETTER = np.zeros(256, bool)
@@ -144,7 +176,8 @@ class Lexicon:
         table: dict[int, tuple[int, float]] = {}
         for symbol, words in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (THREAT, THREATS), (INSULT, INSULTS)):
             for w in words:
-                table[word_hash(w)] = (symbol, SEED_WEIGHT)
+                for end in ENDINGS if symbol in (THREAT, INSULT) else ("",):
+                    table[word_hash(w + end)] = (symbol, SEED_WEIGHT)
         for h, weight in learned.items():
             if table.get(h, (INSULT, 0.0))[0] == INSULT:
                 table[h] = (INSULT, max(weight, table.get(h, (0, 0.0))[1]))
@@ -184,14 +217,15 @@ def features(data: np.ndarray, offs: np.ndarray, lexicon: Lexicon) -> np.ndarray
     if not len(hot):
         return out
     take = np.flatnonzero((symbol != NONE) & np.isin(clause, hot))
-    nxt, factor = grammar()
     total: dict[int, float] = {}
     most: dict[int, float] = {}
     count: dict[int, int] = {}
-    state, now, score, of, last = 0, -1, 0.0, -1, 0
+    now, of, last = -1, -1, 0
+    symbols: list[int] = []
+    weights: list[float] = []
 
     def close() -> None:
-        if of >= 0 and score > 0:
+        if of >= 0 and (score := read_clause(symbols, weights)) > 0:
             total[of] = total.get(of, 0.0) + score
             most[of] = max(most.get(of, 0.0), score)
             count[of] = count.get(of, 0) + 1
@@ -199,12 +233,13 @@ def features(data: np.ndarray, offs: np.ndarray, lexicon: Lexicon) -> np.ndarray
     for w, c, s, v, d in zip(take.tolist(), clause[take].tolist(), symbol[take].tolist(), weight[take].tolist(), scan.doc[take].tolist()):
         if c != now:
             close()
-            state, now, score, of = 0, c, 0.0, d
+            now, of, symbols, weights = c, d, [], []
         elif w - last > NEGATION_REACH:
-            state = nxt[state][GAP]
-        if s == INSULT or s == THREAT:
-            score += v * factor[state][s]
-        state, last = nxt[state][s], w
+            symbols.append(GAP)
+            weights.append(0.0)
+        symbols.append(s)
+        weights.append(v)
+        last = w
     close()
     for d in total:
         out[d] = (np.log1p(total[d]), min(most[d], 10.0), np.log1p(count[d]), min(3.0, count[d] / np.sqrt(words[d] + 1)))
@@ -285,12 +320,14 @@ def _featurise(lexicon: Lexicon, slab: int):
     return run
 
 
-def learn(labelled: DataFrame, *, most_rows: int = 20_000, most_features: int = 5_000, slab: int = 2 << 20) -> Model:
+def learn(labelled: DataFrame, *, most_rows: int = 20_000, most_features: int = 5_000, few: int = 100, slab: int = 2 << 20) -> Model:
     """Fit on rows of text and toxic (0 or 1; other rows are left out).
 
     Of the rows, about ``most_rows`` are used, chosen by a hash of the text; a fifth
-    of them calibrates and the rest teaches the lexicon. Without both classes the
-    seed words and a fixed curve remain.
+    of them calibrates and the rest teaches the lexicon. With fewer than ``few`` toxic
+    rows all of them do both. Without both classes the seed words and a fixed curve
+    remain. Repeated rows count as often as they stand; stems with equal weight are
+    taken in the order of their hashes.
     """
     rows = labelled.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)")
     bucket = F.pmod(F.xxhash64("text", F.lit("toxicity")), F.lit(1_000_000))
@@ -299,8 +336,9 @@ def learn(labelled: DataFrame, *, most_rows: int = 20_000, most_features: int =
     total = rows.count()
     share = min(1.0, most_rows / max(1, total))
     rows = rows.where(F.col("bucket") < int(share * 1_000_000)).persist()
-    teach = rows.where("bucket % 5 <> 0").select("text", "toxic")
-    tune = rows.where("bucket % 5 = 0").select("text", "toxic")
+    sparse = rows.where("toxic = 1").count() < few
+    teach = rows.where("true" if sparse else "bucket % 5 <> 0").select("text", "toxic")
+    tune = rows.where("true" if sparse else "bucket % 5 = 0").select("text", "toxic")
     n_tox, n_all = teach.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
     learned: dict[int, float] = {}
     if 0 < n_tox < n_all:
@@ -358,7 +396,8 @@ def toxicity_report(docs: DataFrame, labels: DataFrame, *, most_rows: int = 20_0
 
     Returns doc_id, held_out, score, predicted (1 if score >= 0.5), n_clauses.
     """
-    known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), "toxic").where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
+    # A label that stands on several rows counts once; contradicting ones count as toxic.
+    known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), "toxic").where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = known.count()
     if n > most_rows:  # few enough to broadcast: the sample's bound, by a hash of the id
         known = known.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < int(1_000_000 * most_rows / n))

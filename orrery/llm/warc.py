@@ -89,29 +89,44 @@ def _value(text: Column, name: str) -> Column:
     return F.regexp_extract(text, rf"\r\n{name}: ([^\r\n]*)", 1)
 
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """What the archive says of each record, with size and digest taken anew from the stored bytes."""
-    records, payloads = _archive(spark, path)
-    sizes = payloads.select("digest", F.sha2("payload", 256).alias("again"), F.octet_length("payload").cast("bigint").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"))
-    text = F.decode("header", "UTF-8")
-    page = F.regexp_extract(_value(text, "WARC-Record-ID"), r"^<urn:page:(-?\d+)>$", 1)
-    refers = F.regexp_extract(_value(text, "WARC-Refers-To"), r"^<urn:page:(-?\d+)>$", 1)
-    joined = records.join(sizes, "digest", "left")
-    sound = (F.col("digest") == F.col("again")) & (_value(text, "WARC-Payload-Digest") == F.concat(F.lit("sha1:"), F.col("payload_digest")))
-    bad = F.raise_error(F.concat(F.lit("no sound payload for the record "), _value(text, "WARC-Record-ID")))
-    number = lambda c: F.when(c != "", c.cast("bigint"))
-    return joined.select(
-        number(page).alias("page_id"),
-        F.when(F.coalesce(sound, F.lit(False)), F.col("payload_bytes")).otherwise(bad.cast("bigint")).alias("payload_bytes"),
-        "payload_digest",
-        _value(text, "WARC-Type").alias("record_type"),
-        number(refers).alias("refers_to"),
-    )
-
-
 def rebuild_records(spark: SparkSession, path: str) -> DataFrame:
-    """Every record's bytes, and the payload it stands for (a revisit's is its response's)."""
+    """Every record's bytes: page_id, digest, record. Only a response holds its payload, so no digest is a hot key of this join."""
     records, payloads = _archive(spark, path)
     end = F.encode(F.lit(CRLF + CRLF), "UTF-8")
-    own = F.regexp_extract(F.decode("header", "UTF-8"), r"\r\nWARC-Type: ([a-z]+)", 1) == "response"
-    return records.join(payloads, "digest", "left").select("page_id", F.when(own, F.concat("header", "payload", end)).otherwise(F.concat("header", end)).alias("record"), "payload")
+    own = _value(F.decode("header", "UTF-8"), "WARC-Type") == "response"
+    whole = records.where(own).join(payloads, "digest", "left").select("page_id", "digest", F.concat("header", "payload", end).alias("record"))
+    return whole.unionByName(records.where(~own).select("page_id", "digest", F.concat("header", end).alias("record")))
+
+
+def read_archive(spark: SparkSession, path: str) -> DataFrame:
+    """What the rebuilt records say, with size and digest of each payload taken from the record that holds it.
+
+    A record without its payload, or whose payload doesn't have the digests and the length
+    that the archive and the header name, is an error.
+    """
+    text = F.decode("record", "UTF-8")
+    split = F.instr(text, CRLF + CRLF)
+    parsed = rebuild_records(spark, path).select("digest", F.substring(text, F.lit(1), split + 3).alias("head"), F.substring(text, split + 4, F.length(text) - split - 7).alias("body"))
+    page = lambda name: F.regexp_extract(_value(F.col("head"), name), r"^<urn:page:(-?\d+)>$", 1)
+    number = lambda c: F.when(c != "", c.cast("bigint"))
+    told = parsed.select(
+        "digest",
+        number(page("WARC-Record-ID")).alias("page_id"),
+        _value(F.col("head"), "WARC-Record-ID").alias("record_id"),
+        _value(F.col("head"), "WARC-Type").alias("record_type"),
+        number(page("WARC-Refers-To")).alias("refers_to"),
+        _value(F.col("head"), "WARC-Payload-Digest").alias("named"),
+        _value(F.col("head"), "Content-Length").cast("bigint").alias("promised"),
+        "body",
+    )
+    held = told.where("record_type = 'response'").select("digest", "page_id", "record_id", "record_type", "refers_to", "named", "promised", F.octet_length("body").cast("bigint").alias("payload_bytes"), base32_sha1(F.col("body")).alias("payload_digest"), F.sha2("body", 256).alias("again"))
+    sound = (F.col("digest") == F.col("again")) & (F.col("named") == F.concat(F.lit("sha1:"), F.col("payload_digest"))) & (F.col("promised") == F.col("payload_bytes"))
+    bad = F.raise_error(F.concat(F.lit("no sound payload for the record "), F.col("record_id")))
+    size = F.when(F.coalesce(sound, F.lit(False)), F.col("payload_bytes")).otherwise(bad.cast("bigint")).alias("payload_bytes")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    whole = held.select("digest", "page_id", size, "payload_digest", "record_type", "refers_to")
+    facts = whole.groupBy("digest").agg(F.first("payload_bytes").alias("payload_bytes"), F.first("payload_digest").alias("payload_digest"))
+    again = told.where("record_type <> 'response'").select("digest", "page_id", "record_id", "record_type", "refers_to", "named").join(facts, "digest", "left")
+    known = F.col("named") == F.concat(F.lit("sha1:"), F.col("payload_digest"))
+    again = again.withColumn("payload_bytes", F.when(F.coalesce(known, F.lit(False)), F.col("payload_bytes")).otherwise(bad.cast("bigint")))
+    return whole.select(columns).unionByName(again.select(columns))

@@ -185,10 +185,31 @@ def test_grammar():
     score = lambda t: toxicity.features(*text_buffers(pa.array([t])), toxicity.Lexicon.build({}))[0, 1]
     assert score("you idiot") > score("an idiot") > score("he said idiot") > score("not an idiot") > 0
     assert score("this is not so. an idiot") == score("an idiot")
-    assert score("I kill you") < score("you I kill")
+    assert score("I will kill you") > score("you will be killed") > score("kill the process") > 0
+    assert score("idiot, someone said") == score("someone said idiot") < score("idiot")
+    assert score("don't be an idiot") == score("don’t be an idiot") == score("not an idiot")
+    assert score("idiots") == score("idiot") and score("stupid idiot") > 2 * score("idiot")
+    assert score("idiot you") > score("an idiot")
     assert score("nothing here") == 0
 
 
+def test_composition_equals_single_transducers():
+    """Composed tables give what each transducer gives on its own, both ways."""
+    rng = random.Random(6)
+    for _ in range(300):
+        symbols = [rng.randrange(1, 7) for _ in range(rng.randint(0, 12))]
+        weights = [rng.uniform(1, 5) for _ in symbols]
+        factor = [1.0] * len(symbols)
+        for parts, order in ((toxicity.FORWARD, range(len(symbols))), (toxicity.BACKWARD, range(len(symbols) - 1, -1, -1))):
+            for t in parts:
+                state = 0
+                for k in order:
+                    state, f = t.arcs.get((state, symbols[k]), (state, 1.0))
+                    factor[k] *= f
+        want = sum(w * f for s, w, f in zip(symbols, weights, factor) if s in (toxicity.INSULT, toxicity.THREAT))
+        assert abs(toxicity.read_clause(symbols, weights) - want) < 1e-9
+
+
 def test_licences(docs, no_docs, spark):
     extra = [(900, "Copyright (c) 2020 A\n" + license_scan.KNOWN[0][1].replace("software", "SOFTWARE"), None), (901, "Text\nReleased  under the MIT Licence!\nmore", None), (902, None, None)]
     both = docs.select("doc_id", "text", "cls").unionByName(spark.createDataFrame(extra, "doc_id bigint, text string, cls string"))
