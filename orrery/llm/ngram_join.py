@@ -408,7 +408,7 @@ def _join_postings(members: DataFrame, num: int, den: int, posting_run: int) ->
     return arrow_map(full.select("a", "b", "l_n", "r_n", "l_weight", "r_weight", "l_shared", "r_shared"), _verify_pairs(num, den), _LINKS)
 
 
-def ngram_jaccard_classes(docs: DataFrame, *, width: int = 5, num: int = 80, den: int = 100, batch_bytes: int = 4 << 20, chunk_entries: int = 250_000, most_chunks: int = 32, posting_run: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ngram_jaccard_classes(docs: DataFrame, *, width: int = 5, num: int = 80, den: int = 100, batch_bytes: int = 4 << 20, chunk_entries: int = 60_000, most_chunks: int = 64, posting_run: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Near-duplicate classes of texts whose ``width``-word shingle sets have Jaccard >= num/den.
 
     Texts are A-Z lower-cased; words are ``[^\\x20\\x09-\\x0D]+``. A text of fewer
