@@ -149,10 +149,21 @@ def provenance_confidence(deltas: Column) -> Column:
 
 # Severity and decisions
 
-def progressive_severity(severity: Column, age_days: Column, ramp_days: float) -> Column:
-    """A new rule's errors start as info, then warnings, until the ramp is over."""
+def progressive_severity(severity: Column, age_days: Column, ramp_days: float, new_file: Column) -> Column:
+    """While a project's ramp lasts errors start as info, then warnings, and warnings as info; new files are judged in full."""
     part = age_days / ramp_days
-    return F.when(severity != "error", severity).when(part < 0.25, "info").when(part < 0.5, "warning").otherwise(severity)
+    soft = F.when((severity == "error") & (part < 0.25), "info").when((severity == "error") & (part < 0.5), "warning").when((severity == "warning") & (part < 0.5), "info").otherwise(severity)
+    return F.when(new_file | (part >= 1), severity).otherwise(soft)
+
+
+def promotable(posterior_mean: Column, files: Column, least_files: int = 5) -> Column:
+    """Established, and spread over enough files."""
+    return (posterior_mean >= 0.85) & (files >= least_files)
+
+
+def auto_approve(confidence: Column, outlier_ratio: Column, locations: Column, errors: Column) -> Column:
+    sure = (confidence >= 0.90) & (outlier_ratio <= 0.50) & (locations >= 3) & ~errors
+    return F.when(sure, "approve").when(confidence >= 0.70, "review").otherwise("likely_false_positive")
 
 
 def merge_decision(similarity: Column) -> Column:
@@ -165,7 +176,37 @@ def audit_duplicate_tier(similarity: Column) -> Column:
 
 def coupling_zone(instability: Column, abstractness: Column) -> Column:
     d = F.abs(abstractness + instability - 1.0)
-    return F.when(d <= 0.3, "main_sequence").when((abstractness < 0.5) & (instability < 0.5), "pain").when((abstractness > 0.5) & (instability > 0.5), "useless").otherwise("off_sequence")
+    return F.when(d <= 0.3, "main_sequence").when((abstractness < 0.5) & (instability < 0.5), "pain").when((abstractness > 0.5) & (instability > 0.5), "useless").otherwise("main_sequence")
+
+
+# Names and paths that callers outside the graph may reach, in the order they are tried.
+DEAD_CODE_EXCLUSIONS = (
+    ("entry_point", "^(main|index|default|run|start|init)$", None),
+    ("event_handler", "(?i)^on|^handle|listener|callback|subscriber|observer", None),
+    ("reflection", "(?i)invoke|reflect|dynamic|proxy", None),
+    ("dependency_injection", "(?i)inject|provide|factory|service|repository", None),
+    ("test_utility", "(?i)^test|^spec_|^it_|mock|stub|fixture|helper", "(?i)test|spec"),
+    ("framework_hook", "^(componentDidMount|componentDidUpdate|componentWillUnmount|getDerivedStateFromProps|shouldComponentUpdate|getSnapshotBeforeUpdate|componentDidCatch|render|created|mounted|updated|destroyed|beforeCreate|beforeMount|beforeUpdate|beforeDestroy|setup|onMounted|onUpdated|onUnmounted|ngOnInit|ngOnDestroy|ngOnChanges|ngAfterViewInit|ngAfterContentInit|ngDoCheck|__init__|__del__|__enter__|__exit__|__call__)$", None),
+    ("decorator", "(?i)route|api|endpoint|controller|middleware|plugin", None),
+    ("interface_impl", "::|^[A-Z][^./]*[.]", None),
+    ("conditional_compilation", "(?i)cfg|ifdef|platform", "(?i)platform|arch"),
+    ("dynamic_import", "(?i)lazy|dynamic|loadable|async_import", None),
+)
+
+
+def dead_code_exclusion(name: Column, path: Column, entry: Column, exported: Column) -> Column:
+    """Why a function without callers may still be called; null where nothing says so."""
+    out = F.when(entry | exported, "entry_point")
+    for why, pattern, where in DEAD_CODE_EXCLUSIONS:
+        out = out.when(name.rlike(pattern) | (path.rlike(where) if where else F.lit(False)), why)
+    return out
+
+
+def dead_code_confidence(name: Column, path: Column) -> Column:
+    common = F.when(name.rlike("(?i)handler|callback|listener|hook|middleware|plugin|factory|provider|service"), 0.2).otherwise(0.0)
+    brief = F.when(F.length(name) <= 3, 0.15).otherwise(0.0)
+    test = F.when(path.rlike("(?i)test"), 0.1).otherwise(0.0)
+    return clamp(0.9 - common - brief - test, 0.1, 1.0)
 
 
 # Text and arrays

@@ -34,7 +34,7 @@ def alpha_beta(rows: DataFrame, by: str) -> DataFrame:
     """Evidence for and against a detector from what its readers did."""
     a, reason = F.col("action"), F.coalesce(F.col("reason"), F.lit(""))
     alpha = F.when(a == "fix", 1.0).when(a == "escalate", 0.5).otherwise(0.0)
-    beta = F.when((a == "dismiss") & (reason == "false_positive"), 0.5).when(a == "dismiss", 0.25).when(a == "suppress", 0.1).otherwise(0.0)
+    beta = F.when((a == "dismiss") & (reason == "false_positive"), 0.5).when((a == "dismiss") & reason.isin("wont_fix", "duplicate"), 0.0).when(a == "dismiss", 0.25).when(a == "suppress", 0.1).otherwise(0.0)
     return rows.groupBy(by).agg(F.sum(alpha).alias("alpha"), F.sum(beta).alias("beta"))
 
 

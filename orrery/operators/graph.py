@@ -161,14 +161,14 @@ def module_edges(edges: DataFrame, owner: DataFrame, node: str, module: str) ->
 
 
 def coupling(edges: DataFrame, abstract_share: DataFrame | None = None) -> DataFrame:
-    """Per module: ce, ca, instability, abstractness, distance."""
+    """Per module: ce, ca, instability, abstractness, distance. Modules of ``abstract_share`` without edges are listed too."""
     ce = edges.groupBy(F.col("src").alias("module")).agg(F.countDistinct("dst").alias("ce"))
     ca = edges.groupBy(F.col("dst").alias("module")).agg(F.countDistinct("src").alias("ca"))
     out = ce.join(ca, "module", "full_outer").fillna(0, ["ce", "ca"])
     i = F.when(F.col("ce") + F.col("ca") == 0, 0.0).otherwise(F.col("ce") / (F.col("ce") + F.col("ca")))
     out = out.withColumn("instability", i)
     if abstract_share is not None:
-        out = out.join(abstract_share, "module", "left").fillna(0.0, ["abstractness"])
+        out = out.drop("instability").join(abstract_share, "module", "full_outer").fillna(0, ["ce", "ca"]).fillna(0.0, ["abstractness"]).withColumn("instability", i)
     else:
         out = out.withColumn("abstractness", F.lit(0.0))
     return out.withColumn("distance", F.abs(F.col("abstractness") + F.col("instability") - 1))

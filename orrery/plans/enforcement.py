@@ -89,7 +89,7 @@ def feedback_metrics(spark, d):
 
 @query(
     "feedback",
-    """SELECT detector, round(sum(CASE action WHEN 'fix' THEN 1.0 WHEN 'escalate' THEN 0.5 ELSE 0 END), 4) AS alpha, round(sum(CASE WHEN action = 'dismiss' AND reason = 'false_positive' THEN 0.5 WHEN action = 'dismiss' THEN 0.25 WHEN action = 'suppress' THEN 0.1 ELSE 0 END), 4) AS beta FROM feedback GROUP BY 1""",
+    """SELECT detector, round(sum(CASE action WHEN 'fix' THEN 1.0 WHEN 'escalate' THEN 0.5 ELSE 0 END), 4) AS alpha, round(sum(CASE WHEN action = 'dismiss' AND reason = 'false_positive' THEN 0.5 WHEN action = 'dismiss' AND reason IN ('wont_fix', 'duplicate') THEN 0 WHEN action = 'dismiss' THEN 0.25 WHEN action = 'suppress' THEN 0.1 ELSE 0 END), 4) AS beta FROM feedback GROUP BY 1""",
 )
 def feedback_alpha_beta(spark, d):
     return K.alpha_beta(relation(spark, d, "feedback"), "detector").select("detector", F.round("alpha", 4).alias("alpha"), F.round("beta", 4).alias("beta"))
@@ -97,14 +97,14 @@ def feedback_alpha_beta(spark, d):
 
 @query(
     "feedback",
-    """WITH x AS (SELECT author, created_at, lag(created_at, 2) OVER (PARTITION BY author ORDER BY created_at) AS third FROM feedback WHERE action = 'dismiss')
-    SELECT author, min(epoch(created_at) - epoch(third)) <= 3600 * 6 AS abuse FROM x WHERE third IS NOT NULL GROUP BY 1""",
+    """WITH x AS (SELECT author, created_at, row_number() OVER (PARTITION BY author ORDER BY created_at DESC, event_id DESC) AS k FROM feedback WHERE action = 'dismiss')
+    SELECT author, epoch_us(max(created_at)) - epoch_us(min(created_at)) <= 21600000000 AS abuse FROM x WHERE k <= 3 GROUP BY 1 HAVING count(*) = 3""",
 )
 def dismissal_abuse(spark, d):
-    third = F.lag("created_at", 2).over(Window.partitionBy("author").orderBy("created_at"))
-    x = relation(spark, d, "feedback").where("action = 'dismiss'").withColumn("third", third).where("third is not null")
-    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    return x.groupBy("author").agg((F.min(micros("created_at") - micros("third")) <= 3600 * 6 * 1_000_000).alias("abuse"))
+    """Whether an author's latest three dismissals lie within six hours."""
+    k = F.row_number().over(Window.partitionBy("author").orderBy(F.desc("created_at"), F.desc("event_id")))
+    x = relation(spark, d, "feedback").where("action = 'dismiss'").select("author", F.unix_micros(F.col("created_at").cast("timestamp")).alias("at"), k.alias("k")).where("k <= 3")
+    return x.groupBy("author").agg((F.max("at") - F.min("at") <= 3600 * 6 * 1_000_000).alias("abuse"), F.count("*").alias("n")).where("n = 3").drop("n")
 
 
 @query("violations", "SELECT rule_id, CASE WHEN count(*) FILTER (WHERE suppressed) > 0.2 * count(*) AND max(severity = 'error') THEN 'warning' WHEN max(severity = 'error') THEN 'error' WHEN max(severity = 'warning') THEN 'warning' ELSE 'info' END AS severity, count(*) FILTER (WHERE is_new) AS new FROM violations GROUP BY 1")
@@ -121,14 +121,14 @@ def violation_dedup(spark, d):
 
 @query(
     "violations",
-    """WITH a AS (SELECT max(created_at) AS now FROM violations), x AS (SELECT severity, date_diff('day', CAST(created_at AS DATE), CAST(now AS DATE)) AS age FROM violations, a)
-    SELECT CASE WHEN severity <> 'error' THEN severity WHEN age / 1000.0 < 0.25 THEN 'info' WHEN age / 1000.0 < 0.5 THEN 'warning' ELSE severity END AS effective, count(*) AS n FROM x GROUP BY 1""",
+    """WITH a AS (SELECT max(created_at) AS now FROM violations), x AS (SELECT severity, is_new, date_diff('day', CAST(created_at AS DATE), CAST(now AS DATE)) AS age FROM violations, a)
+    SELECT CASE WHEN is_new OR age >= 2000 THEN severity WHEN severity = 'error' AND age < 500 THEN 'info' WHEN severity = 'error' AND age < 1000 THEN 'warning' WHEN severity = 'warning' AND age < 1000 THEN 'info' ELSE severity END AS effective, count(*) AS n FROM x GROUP BY 1""",
 )
 def progressive_severity(spark, d):
     v = relation(spark, d, "violations")
     now = F.broadcast(v.agg(F.max("created_at").alias("now")))  # one row
     age = F.date_diff(F.to_date("now"), F.to_date("created_at"))
-    return v.join(now).groupBy(S.progressive_severity(F.col("severity"), age, 1000.0).alias("effective")).agg(F.count("*").alias("n"))
+    return v.join(now).groupBy(S.progressive_severity(F.col("severity"), age, 2000.0, F.col("is_new")).alias("effective")).agg(F.count("*").alias("n"))
 
 
 _GATES = """g AS (SELECT project, 'pattern_compliance' AS gate, 100.0 * count(*) FILTER (WHERE severity <> 'error') / count(*) AS score FROM violations GROUP BY 1
@@ -162,22 +162,34 @@ for _name, _sql in {
 
 @query(
     "violations",
-    """WITH v AS (SELECT file, count(*) AS n, count(*) FILTER (WHERE severity = 'error') AS e, count(*) FILTER (WHERE is_new) AS w FROM violations GROUP BY 1)
-    SELECT CASE WHEN 1 - e * 1.0 / n >= 0.9 AND n >= 3 AND e = 0 THEN 'approve' WHEN e * 1.0 / n > 0.5 THEN 'likely_false_positive' ELSE 'review' END AS verdict, count(*) AS files FROM v GROUP BY 1""",
+    """WITH v AS (SELECT file, count(*) FILTER (WHERE severity <> 'warning') AS locations, count(*) FILTER (WHERE severity = 'warning') AS outliers, max(severity = 'error' AND NOT suppressed) AS errors, avg(CASE WHEN is_new THEN 0.6 ELSE 1.0 END) AS confidence FROM violations GROUP BY 1)
+    SELECT CASE WHEN confidence >= 0.9 AND outliers <= locations AND locations >= 3 AND NOT errors THEN 'approve' WHEN confidence >= 0.7 THEN 'review' ELSE 'likely_false_positive' END AS verdict, count(*) AS files FROM v GROUP BY 1""",
 )
 def auto_approve(spark, d):
-    v = relation(spark, d, "violations").groupBy("file").agg(F.count("*").alias("n"), F.count_if(F.col("severity") == "error").alias("e"))
-    share = F.col("e") / F.col("n")
-    verdict = F.when((1 - share >= 0.9) & (F.col("n") >= 3) & (F.col("e") == 0), "approve").when(share > 0.5, "likely_false_positive").otherwise("review")
+    """Confidence .90, outliers at most half, three locations and no errors; .70 for a review."""
+    warn = F.col("severity") == "warning"
+    v = relation(spark, d, "violations").groupBy("file").agg(
+        F.count_if(~warn).alias("locations"), F.count_if(warn).alias("outliers"), F.bool_or((F.col("severity") == "error") & ~F.col("suppressed")).alias("errors"),
+        F.avg(F.when(F.col("is_new"), 0.6).otherwise(1.0)).alias("confidence"),
+    )
+    ratio = F.col("outliers") / (F.col("locations") + F.col("outliers"))
+    verdict = S.auto_approve(F.col("confidence"), ratio, F.col("locations"), F.col("errors"))
     return v.groupBy(verdict.alias("verdict")).agg(F.count("*").alias("files"))
 
 
-@query("", "WITH p AS (SELECT doc_id, regexp_extract(text, '(?i)(orrery-ignore|#\\s*noqa)', 1) AS m FROM documents) SELECT count(*) FILTER (WHERE m <> '') AS directives, count(*) AS lines FROM p")
+@query(
+    "",
+    """WITH x AS (SELECT order_id, seq, comment, next_line FROM (SELECT l_orderkey AS order_id, l_linenumber AS seq, CASE WHEN l_orderkey % 7 = l_linenumber THEN 'x = 1  # noqa' WHEN l_orderkey % 5 = l_linenumber THEN '// eslint-disable-next-line' ELSE 'x = 1' END AS comment FROM lineitem) AS t,
+        LATERAL (SELECT comment LIKE '%next-line%' AS next_line) AS u WHERE regexp_matches(comment, 'noqa|eslint-disable'))
+    SELECT count(*) AS directives, count(*) FILTER (WHERE next_line) AS next_line FROM x""",
+)
 def suppression_scan(spark, d):
+    """Suppression directives in source lines, and how many speak of the line after them."""
     from orrery.sources.facts import table
 
-    m = F.col("text").rlike(r"(?i)(orrery-ignore|#\s*noqa)")
-    return table(spark, d, "documents").agg(F.count_if(m).alias("directives"), F.count("*").alias("lines"))
+    text = F.when(F.col("l_orderkey") % 7 == F.col("l_linenumber"), "x = 1  # noqa").when(F.col("l_orderkey") % 5 == F.col("l_linenumber"), "// eslint-disable-next-line").otherwise("x = 1")
+    found = table(spark, d, "lineitem").select(text.alias("text")).where(F.col("text").rlike("noqa|eslint-disable"))
+    return found.agg(F.count("*").alias("directives"), F.count_if(F.col("text").contains("next-line")).alias("next_line"))
 
 
 @query("violations", "SELECT 'error_' || severity AS rule, string_agg(DISTINCT CAST(project AS VARCHAR), ',' ORDER BY CAST(project AS VARCHAR)) AS projects, count(*) AS results FROM violations WHERE NOT suppressed GROUP BY severity")

@@ -75,11 +75,20 @@ def risk_score(spark, d):
     return x.select("id", r6(risk).alias("risk"))
 
 
-@query("call_edges functions", "SELECT id, CASE WHEN is_exported THEN 'exported' WHEN is_test THEN 'test' WHEN is_entry THEN 'entry' ELSE 'dead' END AS verdict FROM functions WHERE id NOT IN (SELECT callee FROM call_edges WHERE caller <> callee)")
+@query(
+    "call_edges functions",
+    """WITH f AS (SELECT *, lower(name) AS n FROM functions WHERE id NOT IN (SELECT callee FROM call_edges WHERE caller <> callee)), x AS (SELECT id, name, path, CASE
+        WHEN is_entry OR is_exported OR name IN ('main', 'index', 'default', 'run', 'start', 'init') THEN 'entry_point' WHEN n LIKE 'on%' OR n LIKE 'handle%' OR n LIKE '%callback%' THEN 'event_handler'
+        WHEN n LIKE '%invoke%' OR n LIKE '%proxy%' THEN 'reflection' WHEN n LIKE '%repository%' OR n LIKE '%service%' THEN 'dependency_injection' WHEN n LIKE 'test%' OR n LIKE '%mock%' OR path LIKE '%test%' THEN 'test_utility'
+        WHEN name = 'ngOnInit' THEN 'framework_hook' WHEN n LIKE '%api%' THEN 'decorator' WHEN name LIKE '%::%' THEN 'interface_impl' WHEN n LIKE '%cfg%' OR path LIKE '%platform%' THEN 'conditional_compilation' WHEN n LIKE '%lazy%' THEN 'dynamic_import' END AS exclusion FROM f)
+    SELECT id, coalesce(exclusion, 'dead') AS verdict, CASE WHEN exclusion IS NOT NULL THEN 0.0 ELSE round(0.9 - CASE WHEN name LIKE '%hook%' THEN 0.2 ELSE 0 END - CASE WHEN length(name) <= 3 THEN 0.15 ELSE 0 END - CASE WHEN path LIKE '%test%' THEN 0.1 ELSE 0 END, 4) END AS confidence FROM x""",
+)
 def dead_code(spark, d):
+    """Functions nobody calls: why they may be alive, or how surely they are dead."""
     f = relation(spark, d, "functions").join(_edges(spark, d).select(F.col("dst").alias("id")), "id", "left_anti")
-    verdict = F.when(F.col("is_exported"), "exported").when(F.col("is_test"), "test").when(F.col("is_entry"), "entry").otherwise("dead")
-    return f.select("id", verdict.alias("verdict"))
+    why = S.dead_code_exclusion(F.col("name"), F.col("path"), F.col("is_entry"), F.col("is_exported"))
+    sure = F.when(why.isNotNull(), 0.0).otherwise(F.round(S.dead_code_confidence(F.col("name"), F.col("path")), 4))
+    return f.select("id", F.coalesce(why, F.lit("dead")).alias("verdict"), sure.alias("confidence"))
 
 
 @query("call_edges functions", f"WITH {_E}, r(node) AS (SELECT id FROM functions WHERE is_entry UNION SELECT e.dst FROM r JOIN e ON e.src = r.node) SELECT id FROM functions WHERE id NOT IN (SELECT node FROM r)")
@@ -125,7 +134,7 @@ def scc_cycles(spark, d):
 
 
 _MOD = "me AS (SELECT DISTINCT a.module AS src, b.module AS dst FROM call_edges AS e JOIN functions AS a ON a.id = e.caller JOIN functions AS b ON b.id = e.callee WHERE a.module <> b.module), ab AS (SELECT module, avg(CASE WHEN is_exported THEN 1.0 ELSE 0.0 END) AS abstractness FROM functions GROUP BY 1)"
-_MARTIN = f"{_MOD}, c AS (SELECT module, coalesce(ce, 0) AS ce, coalesce(ca, 0) AS ca FROM (SELECT src AS module, count(*) AS ce FROM me GROUP BY 1) FULL OUTER JOIN (SELECT dst AS module, count(*) AS ca FROM me GROUP BY 1) USING (module)), m AS (SELECT module, ce, ca, CASE WHEN ce + ca = 0 THEN 0.0 ELSE ce * 1.0 / (ce + ca) END AS i, coalesce(abstractness, 0) AS a FROM c LEFT JOIN ab USING (module))"
+_MARTIN = f"{_MOD}, c AS (SELECT module, coalesce(ce, 0) AS ce, coalesce(ca, 0) AS ca FROM (SELECT src AS module, count(*) AS ce FROM me GROUP BY 1) FULL OUTER JOIN (SELECT dst AS module, count(*) AS ca FROM me GROUP BY 1) USING (module)), m AS (SELECT module, coalesce(ce, 0) AS ce, coalesce(ca, 0) AS ca, CASE WHEN coalesce(ce + ca, 0) = 0 THEN 0.0 ELSE ce * 1.0 / (ce + ca) END AS i, abstractness AS a FROM ab LEFT JOIN c USING (module))"
 
 
 def _coupling(spark, d):
@@ -139,7 +148,7 @@ def martin_metrics(spark, d):
     return _coupling(spark, d).select("module", "ce", "ca", *(r6(F.col(c)).alias(c) for c in ("instability", "abstractness", "distance")))
 
 
-@query("call_edges functions", f"WITH {_MARTIN} SELECT module, CASE WHEN abs(a + i - 1) <= 0.3 THEN 'main_sequence' WHEN a < 0.5 AND i < 0.5 THEN 'pain' WHEN a > 0.5 AND i > 0.5 THEN 'useless' ELSE 'off_sequence' END AS zone FROM m")
+@query("call_edges functions", f"WITH {_MARTIN} SELECT module, CASE WHEN abs(a + i - 1) <= 0.3 THEN 'main_sequence' WHEN a < 0.5 AND i < 0.5 THEN 'pain' WHEN a > 0.5 AND i > 0.5 THEN 'useless' ELSE 'main_sequence' END AS zone FROM m")
 def coupling_zone(spark, d):
     return _coupling(spark, d).select("module", S.coupling_zone(F.col("instability"), F.col("abstractness")).alias("zone"))
 

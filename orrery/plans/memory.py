@@ -95,16 +95,18 @@ def erosion(spark, d):
 
 @query(
     "memory_events",
-    """WITH a AS (SELECT max(recorded_at) AS now FROM memory_events), c AS (SELECT event_type, count(*) FILTER (WHERE recorded_at > now - INTERVAL 1 DAY) AS recent, count(*) FILTER (WHERE recorded_at > now - INTERVAL 4 DAY AND recorded_at <= now - INTERVAL 1 DAY) / 3.0 AS base FROM memory_events, a GROUP BY 1)
-    SELECT event_type, recent, round(base, 4) AS base, round((recent - base) / greatest(0.5 * base, 0.1), 4) AS sigma FROM c""",
+    """WITH w AS (SELECT DISTINCT CAST(recorded_at AS DATE) AS day FROM memory_events), c AS (SELECT day, count(*) FILTER (WHERE CAST(recorded_at AS DATE) = day) AS recent, count(*) FILTER (WHERE CAST(recorded_at AS DATE) < day) / 3.0 AS base
+        FROM w JOIN memory_events ON event_type = 'created' AND CAST(recorded_at AS DATE) BETWEEN day - 3 AND day GROUP BY 1)
+    SELECT day, recent, round(base, 4) AS base, round((recent - base) / greatest(0.5 * base, 0.1), 4) AS sigma FROM c WHERE base > 0 AND (recent - base) / greatest(0.5 * base, 0.1) > 0.1""",
 )
 def explosion(spark, d):
-    e = relation(spark, d, "memory_events")
-    now = F.broadcast(e.agg(F.max("recorded_at").alias("now")))  # one row
-    ago = lambda n: F.col("now") - F.make_dt_interval(F.lit(n))
-    t = F.col("recorded_at")
-    c = e.join(now).groupBy("event_type").agg(F.count_if(t > ago(1)).alias("recent"), (F.count_if((t > ago(4)) & (t <= ago(1))) / 3.0).alias("base"))
-    return c.select("event_type", "recent", F.round("base", 4).alias("base"), F.round((F.col("recent") - F.col("base")) / F.greatest(0.5 * F.col("base"), F.lit(0.1)), 4).alias("sigma"))
+    """Days whose creations exceed those of the three days before by more than a tenth of sigma."""
+    e = relation(spark, d, "memory_events").select(F.to_date("recorded_at").alias("day"), "event_type").groupBy("day").agg(F.count_if(F.col("event_type") == "created").alias("n"))
+    # A day counts in its own window and in those of the next three.
+    c = e.withColumn("ahead", F.explode(F.array(*map(F.lit, range(4))))).select(F.date_add("day", F.col("ahead")).alias("day"), "ahead", "n")
+    c = c.groupBy("day").agg(F.sum(F.when(F.col("ahead") == 0, F.col("n"))).alias("recent"), (F.sum(F.when(F.col("ahead") > 0, F.col("n")).otherwise(0)) / 3.0).alias("base")).where("recent is not null and base > 0")
+    sigma = (F.col("recent") - F.col("base")) / F.greatest(0.5 * F.col("base"), F.lit(0.1))
+    return c.where(sigma > 0.1).select("day", "recent", F.round("base", 4).alias("base"), F.round(sigma, 4).alias("sigma"))
 
 
 @query("memory_events", "SELECT CAST(recorded_at AS DATE) AS day, count(*) FILTER (WHERE event_type = 'contradicted') AS conflicts, round(count(*) FILTER (WHERE event_type = 'contradicted') * 1.0 / count(DISTINCT memory_id), 6) AS density FROM memory_events GROUP BY 1")
@@ -176,9 +178,9 @@ def agent_trust(spark, d):
     return g.select("author", r6(S.trust(F.col("p"), F.col("n"), F.col("all"))).alias("trust"))
 
 
-@query("memories", "SELECT entity, memory_type, count(*) AS n, round(least(1.0, avg(confidence) + 0.2), 6) AS boosted FROM memories GROUP BY 1, 2 HAVING count(*) >= 3")
+@query("memories", "SELECT entity, memory_type, count(*) AS n, round(least(1.0, avg(confidence) + 0.2), 6) AS boosted FROM memories WHERE NOT archived GROUP BY 1, 2 HAVING count(*) >= 3")
 def consensus_groups(spark, d):
-    g = relation(spark, d, "memories").groupBy("entity", "memory_type").agg(F.count("*").alias("n"), F.avg("confidence").alias("c")).where("n >= 3")
+    g = relation(spark, d, "memories").where("not archived").groupBy("entity", "memory_type").agg(F.count("*").alias("n"), F.avg("confidence").alias("c")).where("n >= 3")
     return g.select("entity", "memory_type", "n", r6(F.least(F.lit(1.0), F.col("c") + 0.2)).alias("boosted"))
 
 

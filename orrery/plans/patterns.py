@@ -239,10 +239,12 @@ def contested(spark, d):
     return q.select("detection_method", "pattern_id", r6(F.col("gap")).alias("gap"), (F.col("gap") <= 0.15).alias("contested"))
 
 
-@query("detections", "SELECT file, count(*) AS n, count(DISTINCT pattern_id) AS spread, round(avg(confidence), 6) AS mean FROM detections GROUP BY 1 HAVING avg(confidence) >= 0.5 AND (count(DISTINCT pattern_id) >= 5 OR avg(confidence) >= 0.85)")
+@query("detections", "SELECT pattern_id, line % 40 AS variant, count(*) AS n, count(DISTINCT file) AS spread, round((1.0 + count(*) FILTER (WHERE confidence >= 0.01)) / (2.0 + count(*)), 6) AS mean FROM detections GROUP BY 1, 2 HAVING (1.0 + count(*) FILTER (WHERE confidence >= 0.01)) / (2.0 + count(*)) >= 0.85 AND count(DISTINCT file) >= 5")
 def promotion(spark, d):
-    g = relation(spark, d, "detections").groupBy("file").agg(F.count("*").alias("n"), F.countDistinct("pattern_id").alias("spread"), F.avg("confidence").alias("mean"))
-    return g.where((F.col("mean") >= 0.5) & ((F.col("spread") >= 5) | (F.col("mean") >= 0.85))).withColumn("mean", r6(F.col("mean")))
+    """Discovered conventions that are established (posterior mean of .85) in five files or more."""
+    g = relation(spark, d, "detections").groupBy("pattern_id", (F.col("line") % 40).alias("variant"))
+    g = g.agg(F.count("*").alias("n"), F.countDistinct("file").alias("spread"), ((1.0 + F.count_if(F.col("confidence") >= 0.01)) / (2.0 + F.count("*"))).alias("mean"))
+    return g.where(S.promotable(F.col("mean"), F.col("spread"))).withColumn("mean", r6(F.col("mean")))
 
 
 @query("memories", "WITH a AS (SELECT max(transaction_time) AS now FROM memories) SELECT entity, max(transaction_time) AS last FROM memories, a GROUP BY 1 HAVING max(transaction_time) < max(now) - INTERVAL 90 DAY")

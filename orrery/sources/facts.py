@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SEVERITY = "CASE l_returnflag WHEN 'A' THEN 'error' WHEN 'R' THEN 'warning' ELSE 'info' END"
 _EDGE_CONFIDENCE = "CASE o_orderpriority WHEN '1-URGENT' THEN 0.95 WHEN '2-HIGH' THEN 0.9 WHEN '3-MEDIUM' THEN 0.8 WHEN '4-NOT SPECIFIED' THEN 0.75 ELSE 0.6 END"
+_NAME = "CASE o_orderkey % 19 WHEN 0 THEN 'main' WHEN 1 THEN 'onClick' WHEN 2 THEN 'invokeAll' WHEN 3 THEN 'userRepository' WHEN 4 THEN 'mock_db' WHEN 5 THEN 'ngOnInit' WHEN 6 THEN 'apiList' WHEN 7 THEN 'List::next' WHEN 8 THEN 'cfg_unix' WHEN 9 THEN 'lazyPane' WHEN 10 THEN 'fn' WHEN 11 THEN 'write_hook' WHEN 12 THEN 'test_sum' ELSE 'compute_total' END"
 _RESOLUTION = "CASE o_orderpriority WHEN '1-URGENT' THEN 'same_file' WHEN '2-HIGH' THEN 'import' WHEN '3-MEDIUM' THEN 'export' WHEN '4-NOT SPECIFIED' THEN 'method' ELSE 'fuzzy' END"
 
 RELATIONS: dict[str, tuple[str, list[str], str | None]] = {
@@ -43,7 +44,7 @@ RELATIONS: dict[str, tuple[str, list[str], str | None]] = {
         "orders",
         [
             "o_orderkey AS id", "o_custkey AS file", "o_orderstatus = 'F' AS is_exported", "o_orderpriority = '5-LOW' AS is_test", "o_orderpriority = '1-URGENT' AS is_entry",
-            "CAST(floor(o_totalprice / 4000.0D0) AS BIGINT) AS lines", "o_custkey % 25 AS module",
+            "CAST(floor(o_totalprice / 4000.0D0) AS BIGINT) AS lines", "o_custkey % 25 AS module", f"{_NAME} AS name", "CASE WHEN o_custkey % 9 = 0 THEN 'tests/unit.py' WHEN o_custkey % 31 = 0 THEN 'src/platform/io.py' ELSE 'src/app.py' END AS path",
         ],
         None,
     ),
@@ -71,7 +72,7 @@ RELATIONS: dict[str, tuple[str, list[str], str | None]] = {
         [
             "event_id", "user_id % 20 AS detector", "ts AS created_at", "user_id AS author",
             "CASE event_type WHEN 'purchase' THEN 'fix' WHEN 'error' THEN 'dismiss' WHEN 'click' THEN 'suppress' WHEN 'signup' THEN 'escalate' ELSE 'dismiss' END AS action",
-            "CASE event_type WHEN 'error' THEN 'false_positive' WHEN 'view' THEN 'not_applicable' END AS reason",
+            "CASE event_type WHEN 'error' THEN 'false_positive' WHEN 'view' THEN CASE event_id % 4 WHEN 0 THEN 'not_applicable' WHEN 1 THEN 'wont_fix' WHEN 2 THEN 'duplicate' END END AS reason",
         ],
         None,
     ),
