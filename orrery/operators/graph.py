@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.operators import blocked
 from orrery.sources.working import working_table
 
 
@@ -23,6 +24,8 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int | None = None) -> Data
     node once seen from a start isn't expanded again, so cycles end.
     """
     edges = working_table(edges, "edges")
+    if (graph := blocked.adjacency(edges)) is not None:
+        return blocked.reach_pairs(graph, starts, depth)
     frontier = starts.select("start", F.col("start").alias("node")).distinct()
     seen = frontier.withColumn("depth", F.lit(0))
     level = 0
@@ -38,6 +41,14 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int | None = None) -> Data
     return seen.where("depth > 0")
 
 
+def reach_counts(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """node, callers, max_depth: how many starts reach each node, itself left out, and from how far."""
+    edges = working_table(edges, "edges")
+    if (graph := blocked.adjacency(edges)) is not None:
+        return blocked.reach_counts(graph, starts)
+    return reach(edges, starts).groupBy("node").agg(F.count("*").alias("callers"), F.max("depth").alias("max_depth"))
+
+
 def reachable_set(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """Nodes reachable from any start, starts included; one row a node, so it stays linear."""
     edges = working_table(edges, "edges")
@@ -57,10 +68,14 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, weight: str) -> DataFram
     Weights are not negative, or a cycle might improve for ever.
     """
     edges = working_table(edges, "edges")
-    best = working_table(starts.select("start", F.col("start").alias("node"), F.lit(0.0).alias("cost"), F.lit(None).cast("bigint").alias("via")), "paths")
-    active = best
     if not edges.where(F.col(weight) < 0).isEmpty():
         raise ValueError("negative weights")
+    if (graph := blocked.adjacency(edges, weight)) is not None:
+        own = starts.select("start", F.col("start").alias("node"), F.lit(0.0).alias("cost"), F.lit(None).cast("bigint").alias("via")).distinct()
+        ends = edges.select(F.col("src").alias("start")).union(edges.select("dst"))
+        return blocked.path_costs(graph, starts).unionByName(own.join(ends, "start", "left_anti"))
+    best = working_table(starts.select("start", F.col("start").alias("node"), F.lit(0.0).alias("cost"), F.lit(None).cast("bigint").alias("via")), "paths")
+    active = best
     while True:
         step = active.join(edges, active.node == edges.src).select("start", F.col("dst").alias("node"), (F.col("cost") + F.col(weight)).alias("cost"), F.col("src").alias("via"))
         step = step.groupBy("start", "node").agg(F.min(F.struct("cost", "via")).alias("x")).select("start", "node", "x.cost", "x.via")

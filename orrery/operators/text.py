@@ -13,34 +13,57 @@ from orrery.operators.similarity import textrank_scores
 
 @dataclass(frozen=True)
 class Pattern:
+    """``guard`` is a string, or a class of characters, without which a text can't match."""
+
     name: str
     regex: str
     confidence: float
     group: str
+    guard: str
 
 
-# Patterns of personal data and secrets, in the order in which they are redacted.
+# Patterns of connection strings, secrets and personal data, in the order in which they are redacted.
 PATTERNS = (
-    Pattern("connection_string", r"(?:postgres|mysql|mongodb|redis|amqp)://[^\s:@/]+:[^\s@/]+@[^\s/]+", 0.95, "secret"),
-    Pattern("aws_key", r"\bAKIA[0-9A-Z]{16}\b", 0.95, "secret"),
-    Pattern("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0.98, "secret"),
-    Pattern("bearer_token", r"\b(?:token|secret|api_key|TOKEN|SECRET|API_KEY) ?= ?\"[0-9A-Za-z_\-]{16,}\"", 0.85, "secret"),
-    Pattern("email", r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b", 0.95, "pii"),
-    Pattern("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", 0.90, "pii"),
-    Pattern("iban", r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b", 0.80, "pii"),
-    Pattern("credit_card", r"\b[0-9]{4}[ \-]?[0-9]{4}[ \-]?[0-9]{4}[ \-]?[0-9]{4}\b", 0.85, "pii"),
-    Pattern("mac", r"\b[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}){5}\b", 0.75, "pii"),
-    Pattern("phone", r"\+[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4}", 0.80, "pii"),
-    Pattern("ipv4", r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b", 0.70, "pii"),
+    Pattern("postgresql", r"(?i)postgres(?:ql)?://[^:]+:[^@]+@[^\s]+", 0.90, "connection", "://"),
+    Pattern("mysql", r"(?i)mysql://[^:]+:[^@]+@[^\s]+", 0.90, "connection", "://"),
+    Pattern("mongodb", r"(?i)mongodb(?:\+srv)?://[^:]+:[^@]+@[^\s]+", 0.90, "connection", "://"),
+    Pattern("redis", r"(?i)redis://(?:[^:]+:[^@]+@)?[^\s]+", 0.85, "connection", "://"),
+    Pattern("mssql", r"(?i)(?:Server|Data Source)=[^;]+;.*(?:Password|Pwd)=[^;]+", 0.85, "connection", ";"),
+    Pattern("jdbc", r"(?i)jdbc:[a-z]+://[^:]+:[^@]+@[^\s]+", 0.85, "connection", "://"),
+    Pattern("odbc", r"(?i)(?:DSN|Driver)=[^;]+;.*(?:PWD|Password)=[^;]+", 0.80, "connection", ";"),
+    Pattern("base64_secret", r"(?i)(?:secret|key|password|token|credential)\s*[=:]\s*['\"]?[A-Za-z0-9+/]{40,}={0,2}['\"]?", 0.70, "connection", "[=:]"),
+    Pattern("aws_key", r"\bAKIA[0-9A-Z]{16}\b", 0.95, "secret", "AKIA"),
+    Pattern("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0.98, "secret", "-----BEGIN"),
+    Pattern("bearer_token", r"\b(?:token|secret|api_key|TOKEN|SECRET|API_KEY) ?= ?\"[0-9A-Za-z_\-]{16,}\"", 0.85, "secret", "\""),
+    Pattern("email", r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}", 0.95, "pii", "@"),
+    Pattern("ssn", r"\b\d{3}-\d{2}-\d{4}\b", 0.95, "pii", "[0-9]"),
+    Pattern("credit_card", r"\b(?:4\d{3}|5[1-5]\d{2}|3[47]\d{2}|6(?:011|5\d{2}))[-\s]?\d{4}[-\s]?\d{4}[-\s]?\d{3,4}\b", 0.90, "pii", "[0-9]"),
+    Pattern("iban", r"\b[A-Z]{2}\d{2}[A-Z0-9]{4}\d{7}(?:[A-Z0-9]?\d{0,16})\b", 0.85, "pii", "[0-9]"),
+    Pattern("mac_address", r"\b(?:[0-9A-Fa-f]{2}[:\-]){5}[0-9A-Fa-f]{2}\b", 0.70, "pii", "[:-]"),
+    Pattern("ipv6", r"\b(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}\b", 0.75, "pii", ":"),
+    Pattern("ipv4", r"\b(?:(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\b", 0.70, "pii", "[0-9]"),
+    Pattern("phone", r"(?:^|\s)(?:\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}(?:\s|$)", 0.80, "pii", "[0-9]"),
+    Pattern("dob", r"\b(?:0[1-9]|1[0-2])[/\-](?:0[1-9]|[12]\d|3[01])[/\-](?:19|20)\d{2}\b", 0.75, "pii", "[0-9]"),
+    Pattern("medicare", r"\b\d{3}-\d{3}-\d{3}\b", 0.70, "pii", "[0-9]"),
+    Pattern("passport", r"\b[A-Z]\d{8}\b", 0.60, "pii", "[0-9]"),
+    Pattern("drivers_license", r"\b[A-Z]\d{7,14}\b", 0.50, "pii", "[0-9]"),
+    Pattern("vin", r"\b[A-HJ-NPR-Z0-9]{17}\b", 0.50, "pii", "[A-Z0-9]{17}"),
+    Pattern("address", r"\b\d{1,5}\s+(?:[A-Z][a-z]+\s?){1,4}(?:St|Street|Ave|Avenue|Blvd|Boulevard|Dr|Drive|Ln|Lane|Rd|Road|Ct|Court|Pl|Place|Way)\b", 0.65, "pii", "[0-9]"),
+    Pattern("national_id", r"\b\d{8,12}\b", 0.30, "pii", "[0-9]"),
 )
 
+
+def _may_match(text: Column, p: Pattern) -> Column:
+    return text.rlike(p.guard) if p.guard.startswith("[") else text.contains(p.guard)
+
+
 # Placeholders that are no finding.
 PLACEHOLDERS = r"(?i)example\.(com|org|net)|your[_-]?|placeholder|xxxx|<[a-z_]+>"
 
 
 def counts(text: Column) -> list[Column]:
     """A count per pattern."""
-    return [F.regexp_count(text, F.lit(p.regex)).cast("bigint").alias(p.name) for p in PATTERNS]
+    return [F.when(text.isNull(), None).when(_may_match(text, p), F.regexp_count(text, F.lit(p.regex))).otherwise(0).cast("bigint").alias(p.name) for p in PATTERNS]
 
 
 def redact(text: Column, least: float = 0.40) -> Column:

@@ -51,7 +51,7 @@ _BLAST = f"{_E}, {_CLOSE}, b AS (SELECT node, count(DISTINCT start) FILTER (WHER
 
 def _blast(spark, d):
     e = _edges(spark, d)
-    return G.reach(e, e.select(F.col("src").alias("start"))).groupBy("node").agg(F.count("*").alias("callers"), F.max("depth").alias("max_depth"))
+    return G.reach_counts(e, e.select(F.col("src").alias("start")))
 
 
 @query("call_edges functions", f"WITH {_BLAST} SELECT node, callers, round(callers * 1.0 / ((SELECT count(*) FROM functions) - 1), 8) AS blast FROM b WHERE callers > 0")

@@ -115,6 +115,8 @@ def pii_counts(spark, d):
 def _redact_sql() -> str:
     out = "text"
     for p in X.PATTERNS:
+        if p.confidence < 0.40:
+            continue
         out = f"regexp_replace({out}, '{_sql_re(p.regex)}', '[{p.name.upper()}]', 'g')"
     return out
 

@@ -216,3 +216,48 @@ def test_loops_have_no_round_limit():
 
     assert "rounds" not in inspect.signature(graph.shortest_paths).parameters
     assert "rounds" not in inspect.signature(graph.greedy_cover).parameters
+
+
+def test_jaccard_pairs_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "RUN", 3)
+    rng = np.random.default_rng(5)
+    sets = {o: set(rng.choice(40, size=rng.integers(1, 25), replace=False).tolist()) for o in range(40)}
+    sets |= {100 + o: sets[o] | {77} for o in range(10)}
+    df = spark.createDataFrame([(o, t) for o, s in sets.items() for t in s], "o int, t int")
+    for least in (0.3, 0.6):
+        want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])}
+        assert {(r.a, r.b): r.jaccard for r in similarity.jaccard_pairs(df, "o", "t", least).collect()} == pytest.approx(want)
+
+
+@pytest.mark.parametrize("pairs", [8_000_000, 20])
+def test_blocked_search_equals_joins(spark, monkeypatch, pairs):
+    """Graphs that fit one task and those that don't give the same, halved blocks included."""
+    from orrery.operators import blocked
+
+    monkeypatch.setattr(blocked, "MOST_PAIRS", pairs)
+    rng = np.random.default_rng(8)
+    edges = spark.createDataFrame([(int(a), int(b), round(float(w), 3)) for a, b, w in zip(rng.integers(0, 60, 110), rng.integers(0, 60, 110), rng.uniform(0, 1, 110)) if a != b], "src bigint, dst bigint, w double")
+    starts = spark.range(0, 70).withColumnRenamed("id", "start")
+
+    def run():
+        near = {tuple(r) for r in graph.reach(edges, starts).collect()}
+        two = {tuple(r) for r in graph.reach(edges, starts, 2).collect()}
+        counts = {tuple(r) for r in graph.reach_counts(edges, starts).collect()}
+        costs = {(r.start, r.node): round(r.cost, 9) for r in graph.shortest_paths(edges, starts, "w").collect()}
+        return near, two, counts, costs
+
+    fast = run()
+    monkeypatch.setattr(blocked, "MOST_EDGES", 0)
+    assert fast == run()
+
+
+def test_pattern_guards_lose_nothing(spark):
+    texts = ["mail a.b@c.de", "123-45-6789", "4111 1111 1111 1111", "DE89370400440532013000", "00:1A:2b:3c:4d:5e", "1:2:3:4:5:6:7:8", "10.0.0.255", "call 555-123-4567 now", "12/31/1999", "123-456-789", "A12345678", "B1234567",
+             "1HGCM82633A004352", "12 Long Hill Road", "12345678", "postgres://u:p@h/d", "MYSQL://u:p@h", "mongodb+srv://u:p@h", "redis://h", "Server=s;x=1;Pwd=p", "jdbc:pg://u:p@h", "Driver=d;PWD=p", "key: " + "A" * 44, "AKIA" + "A" * 16, "-----BEGIN RSA PRIVATE KEY-----", 'token = "abcdefghijklmnop"']
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    got = df.select("k", *text.counts(F.col("t"))).collect()
+    import re
+
+    for r, t in zip(sorted(got), texts):
+        assert {p.name: r[p.name] for p in text.PATTERNS} == {p.name: len(re.findall(p.regex, t)) for p in text.PATTERNS}
+    assert all(any(r[p.name] for r in got) for p in text.PATTERNS)
