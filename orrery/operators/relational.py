@@ -68,6 +68,30 @@ class Projection:
         return out
 
 
+def matches(wanted: dict) -> Column:
+    """A filter object as one predicate: a list is one of, a pair is a range, ``any`` one flag of several, ``since`` (column, instant)."""
+    out = F.lit(True)
+    for name, value in wanted.items():
+        if name == "any":
+            part = F.lit(False)
+            for flag in value:
+                part = part | F.col(flag)
+        elif name == "since":
+            part = F.col(value[0]) >= F.lit(value[1]).cast("timestamp")
+        elif isinstance(value, tuple):
+            part = F.col(name).between(*value)
+        else:
+            part = F.col(name).isin(value)
+        out = out & part
+    return out
+
+
+def split_by(df: DataFrame, gone: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows that meet the condition, all others): null counts as not met."""
+    yes = F.coalesce(gone, F.lit(False))
+    return df.where(yes), df.where(~yes)
+
+
 def keyset_page(df: DataFrame, key: str, after, size: int) -> DataFrame:
     """``size`` rows after a key, with ``has_more`` told by one row further."""
     page = df.where(F.col(key) > after).orderBy(key).limit(size + 1)
