@@ -53,6 +53,35 @@ def gate_rows(violations: DataFrame, by: str) -> DataFrame:
     return g.select(by, cells).select(by, "x.*").withColumn("passed", F.col("score") >= F.col("threshold"))
 
 
+#: What each gate waits for; the others are independent.
+GATE_DEPENDENCIES = {"pattern_compliance": [], "constraints": ["pattern_compliance"], "security": ["pattern_compliance"], "coverage": [], "error_handling": [], "regression": []}
+
+
+def gates_in_order(measures: DataFrame, by: str, *, compliance: float, constraints: float, coverage: float) -> DataFrame:
+    """A row per group and gate with score and state: passed, failed, or skipped where a gate it waits for didn't pass.
+
+    measures: n, outliers, passing, secure_errors, gaps, coverage and drop (share of errors
+    now less that before) per group. A new security error or an unhandled gap fails its gate.
+    """
+    part = lambda c: 100.0 * c / F.col("n")
+    score = {
+        "pattern_compliance": part(F.col("n") - F.col("outliers")), "constraints": part(F.col("passing")), "security": part(F.col("n") - F.col("secure_errors")),
+        "coverage": 100.0 * F.col("coverage"), "error_handling": part(F.col("n") - F.col("gaps")), "regression": -100.0 * F.col("drop"),
+    }
+    passed = {
+        "pattern_compliance": score["pattern_compliance"] >= compliance, "constraints": score["constraints"] >= constraints, "security": F.col("secure_errors") == 0,
+        "coverage": F.col("coverage") >= coverage, "error_handling": F.col("gaps") == 0, "regression": score["regression"] > -15,
+    }
+    state: dict[str, Column] = {}
+    for gate in run_order(GATE_DEPENDENCIES):
+        waits = F.lit(True)
+        for other in GATE_DEPENDENCIES[gate]:
+            waits = waits & (state[other] == "passed")
+        state[gate] = F.when(~waits, "skipped").when(passed[gate], "passed").otherwise("failed")
+    cells = F.explode(F.array(*(F.struct(F.lit(g).alias("gate"), F.round(score[g], 4).alias("score"), s.alias("state")) for g, s in state.items()))).alias("x")
+    return measures.select(by, cells).select(by, "x.*")
+
+
 def policy(gates: DataFrame, by: str, mode: str) -> DataFrame:
     """all, any, weighted (mean by weight at least 72) or threshold (plain mean at least 70)."""
     rule = {

@@ -115,6 +115,12 @@ def encode_cursor(**fields) -> str:
     return base64.urlsafe_b64encode(json.dumps(fields, sort_keys=True, default=str).encode()).decode()
 
 
+def cursor_of(**fields: Column) -> Column:
+    """``encode_cursor`` of each row: base64 of a compact JSON object with the fields in this order."""
+    cells = [F.concat(F.lit(f'"{name}":'), value.cast("string")) for name, value in fields.items()]
+    return F.base64(F.encode(F.concat(F.lit("{"), F.concat_ws(",", *cells), F.lit("}")), "UTF-8"))
+
+
 def decode_cursor(cursor: str) -> dict:
     return json.loads(base64.urlsafe_b64decode(cursor.encode()))
 

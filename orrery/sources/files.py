@@ -7,6 +7,8 @@ import tomllib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orrery.sources.working import working_path
+
 # Extension -> language.
 LANGUAGES = {
     "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "py": "python", "java": "java", "cs": "csharp", "go": "go", "rs": "rust",
@@ -40,3 +42,15 @@ def pattern_table(spark: SparkSession, source: str) -> DataFrame:
     """User patterns from TOML: id, category, regex, confidence, cwe. A handful of rows, fit to broadcast."""
     rows = [(p["id"], p.get("category", "other"), p["regex"], float(p.get("confidence", 0.8)), p.get("cwe")) for p in tomllib.loads(source).get("pattern", [])]
     return spark.createDataFrame(rows, "id string, category string, regex string, confidence double, cwe string")
+
+
+def write_shards(df: DataFrame, by: str) -> str:
+    """Write ``df`` as one folder per value of ``by`` in the shared working folder; rows of a value are spread over its writers."""
+    path = working_path(df.sparkSession, "shards")
+    df.write.partitionBy(by).parquet(path)
+    return path
+
+
+def read_shard(spark: SparkSession, path: str, by: str, value) -> DataFrame:
+    """The rows of one shard; the filter on the folder's column prunes all others."""
+    return spark.read.parquet(path).where(F.col(by) == value)
