@@ -154,6 +154,29 @@ def reach_pairs(graph, starts: DataFrame, depth: int | None) -> DataFrame:
     return _starts(starts).mapInArrow(_search(graph, lambda g, at: levels(g, at, depth), give), "start long, node long, depth int")
 
 
+def reachable(graph, starts: DataFrame) -> DataFrame:
+    """node: every start and what any of them reaches. One task searches; it holds a flag per node of the graph."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = graph.value
+        seen = np.zeros(len(g.nodes), bool)
+        for batch in batches:
+            at = g.find(batch.column(0).to_numpy())
+            seen[at[at >= 0]] = True
+            yield batch
+        frontier, given = np.flatnonzero(seen), seen.copy()
+        while len(frontier):
+            _, edge = g.step(frontier)
+            frontier = np.unique(g.target[edge])
+            frontier = frontier[~seen[frontier]]
+            seen[frontier] = True
+        more = g.nodes[seen & ~given]
+        for lo in range(0, len(more), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(more[lo : lo + 100_000])], names=["node"])
+
+    return starts.select(F.col("start").cast("bigint").alias("node")).distinct().coalesce(1).mapInArrow(run, "node long")
+
+
 def reach_counts(graph, starts: DataFrame, depth: int | None = None) -> DataFrame:
     """node, callers (starts that reach it, other than itself), max_depth: counted in the workers, a row per node and block."""
 

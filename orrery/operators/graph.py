@@ -52,6 +52,8 @@ def reach_counts(edges: DataFrame, starts: DataFrame) -> DataFrame:
 def reachable_set(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """Nodes reachable from any start, starts included; one row a node, so it stays linear."""
     edges = working_table(edges, "edges")
+    if (graph := blocked.adjacency(edges)) is not None:
+        return blocked.reachable(graph, starts)
     frontier = working_table(starts.select(F.col("start").alias("node")).distinct(), "level")
     seen = frontier
     while True:

@@ -79,8 +79,15 @@ RELATIONS: dict[str, tuple[str, list[str], str | None]] = {
 }
 
 
+#: Tables of long texts: small ones may sit in one row group, which one task would read and work on alone.
+TEXTS = ("documents",)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A source table. Texts of few splits are dealt over the cores first; large inputs have splits enough and aren't shuffled."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in TEXTS and df.rdd.getNumPartitions() <= 2 * cores else df
 
 
 def _dialect(expression: str, engine: str) -> str:
