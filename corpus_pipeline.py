@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of ``documents``. ``run`` writes each stage's rows and reads them
 back as the next one's input.
+
+A null or empty text has too few words and goes in the first stage, repeated rows keep one
+in the second, a row without an id is compared with nothing and stays, and an empty table
+gives no rows. Only doc_id, text and source are read; other columns are carried along.
 """
 
 from __future__ import annotations
@@ -57,7 +61,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: SQL can't tokenize or plan windows; tests hold every stage against a brute-force version.
+#: SQL can't tokenize or plan windows; tests/llm/test_pipeline.py holds every stage against a brute-force version.
 ORACLE_SQL = None
 
 
