@@ -106,21 +106,29 @@ _VECTORS = "vec_id long, dim int, d1 long, d2 long, vec binary"
 _VECTORS_ARROW = pa.schema([("vec_id", pa.int64()), ("dim", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64()), ("vec", pa.binary())])
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Vectors as doubles with a digest; dim 0 where a vector links with nothing."""
-    for rows in batches:
-        out = []
-        for name, values in zip(rows.column(0).to_pylist(), rows.column(1)):
-            vec = values.values.to_numpy(zero_copy_only=False).astype("<f8") if values.is_valid and values.values.null_count == 0 else np.zeros(0)
-            if not len(vec) or not np.isfinite(vec).all() or not np.any(vec) or name is None:
-                out.append((name, 0, None, None, None))
-                continue
-            vec = vec + 0.0  # one zero
-            raw = vec.tobytes()
-            d = hashlib.blake2b(raw, digest_size=16).digest()
-            out.append((name, len(vec), int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), raw))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), _VECTORS_ARROW)], schema=_VECTORS_ARROW)
+def _read(kind: str):
+    """Vectors as bytes of ``kind`` (that of the column, so nothing is lost) with a digest; dim 0 where a vector links with nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            out = []
+            for name, values in zip(rows.column(0).to_pylist(), rows.column(1)):
+                vec = values.values.to_numpy(zero_copy_only=False).astype(kind) if values.is_valid and values.values.null_count == 0 else np.zeros(0)
+                if not len(vec) or not np.isfinite(vec).all() or not np.any(vec) or name is None:
+                    out.append((name, 0, None, None, None))
+                    continue
+                raw = (vec + vec.dtype.type(0)).tobytes()  # one zero
+                d = hashlib.blake2b(raw, digest_size=16).digest()
+                out.append((name, len(vec), int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), raw))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), _VECTORS_ARROW)], schema=_VECTORS_ARROW)
+
+    return run
+
+
+def _doubles(raw: list[bytes], kind: str) -> np.ndarray:
+    """A row per vector, in double precision."""
+    return np.frombuffer(b"".join(raw), kind).astype("<f8").reshape(len(raw), -1)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -128,7 +136,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _deal(shape: dict[int, tuple[int, int, int]], seed: int):
+def _deal(shape: dict[int, tuple[int, int, int]], seed: int, kind: str):
     """A row per vector and bucket; shape: dim -> (tables, k, probes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +147,7 @@ def _deal(shape: dict[int, tuple[int, int, int]], seed: int):
                 for who in np.array_split(np.flatnonzero(dims == dim), max(1, int(np.ceil((dims == dim).sum() / 1024)))):
                     at = pa.array(who)
                     vecs = raw.take(at)
-                    x = np.frombuffer(b"".join(vecs.to_pylist()), "<f8").reshape(len(who), dim)
+                    x = _doubles(vecs.to_pylist(), kind)
                     # A size too rare for tables of its own has one bucket, whose chunk pairs cover all pairs.
                     b = buckets(_unit(x), *shape[dim], seed) if dim in shape else np.full((len(who), 1), int(grams.mix(np.array([dim], np.uint64))[0]) >> 1)
                     order = np.sort(b, 1)
@@ -194,7 +202,7 @@ def verify_bucket(bucket: int, side: np.ndarray, ids: np.ndarray, weight: np.nda
     return node, linked[at], root
 
 
-def _verify(cosine: float):
+def _verify(cosine: float, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
 
@@ -203,7 +211,7 @@ def _verify(cosine: float):
                 side = np.array([r[0] for r in rows])
                 if now[1] != now[2] and side.min() == side.max():
                     return None  # the other chunk has no member: its own task holds these pairs
-                x = np.frombuffer(b"".join(r[3] for r in rows), "<f8").reshape(len(rows), -1)
+                x = _doubles([r[3] for r in rows], kind)
                 lists = np.frombuffer(b"".join(r[4] for r in rows), "<i8").reshape(len(rows), -1)
                 return verify_bucket(now[0], side, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), x, lists, cosine)
 
@@ -234,7 +242,9 @@ def near_vectors(vectors: DataFrame, *, cosine: float = 0.9, seed: int = 11, chu
     """
     spark = vectors.sparkSession
     base = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding")
-    rows = keep(arrow_map(base, _read, _VECTORS), "vec-rows")
+    # Vectors travel in the width of their column and are compared in double precision.
+    kind = "<f4" if base.schema["embedding"].dataType.typeName() == "array" and base.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"
+    rows = keep(arrow_map(base, _read(kind), _VECTORS), "vec-rows")
     valid = rows.where("dim > 0")
     classes = keep(valid.groupBy("d1", "d2", "dim").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")), "vec-classes")
     reps = valid.select("vec_id", "d1", "d2", "vec").join(classes, ["d1", "d2"]).where("vec_id = rep").dropDuplicates(["rep", "d1", "d2"])
@@ -245,13 +255,13 @@ def near_vectors(vectors: DataFrame, *, cosine: float = 0.9, seed: int = 11, chu
         k = max(1, int(np.ceil(np.log(max(1, r["count"] / BUCKET_TARGET)) / np.log(max(wide, 4)) - 1e-9)))
         probes = 2 if k == 1 else 4
         shape[r["dim"]] = (choose_tables(r["dim"], k, probes, cosine, seed), k, probes)
-    dealt = keep(arrow_map(reps, _deal(shape, seed), "bucket long, rep long, weight long, vec binary, lists binary"), "vec-dealt")
+    dealt = keep(arrow_map(reps, _deal(shape, seed, kind), "bucket long, rep long, weight long, vec binary, lists binary"), "vec-dealt")
     sizes = dealt.groupBy("bucket").count().where("count > 1").select("bucket", F.ceil(F.col("count") / chunk).cast("int").alias("parts"))
     split = dealt.join(sizes, "bucket").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     pairs = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     pairs = pairs.select("bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "rep", "weight", "vec", "lists")
     pairs = pairs.repartition(shuffle_width(spark), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    found = keep(arrow_map(pairs, _verify(cosine), "rep long, linked long, root long"), "vec-links")
+    found = keep(arrow_map(pairs, _verify(cosine, kind), "rep long, linked long, root long"), "vec-links")
     counts = found.groupBy("rep").agg(F.sum("linked").alias("linked"))
     linked = components(found.select("rep", "root"))
     named = valid.select("vec_id", "d1", "d2").join(classes.select("d1", "d2", "rep", "weight"), ["d1", "d2"])

@@ -44,6 +44,21 @@ def test_vectors(spark):
     assert near_vectors.near_vectors(df.where("false")).count() == 0
 
 
+def test_float_vectors_link_as_their_doubles(spark):
+    """A float column is compared in double precision, whatever width its vectors travel in."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((40, 24))
+    x = np.concatenate([x, x + 0.45 * rng.standard_normal(x.shape), x[:5]]).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>").repartition(3)
+    got = {r.vec_id: r.n_links for r in near_vectors.near_vectors(df).collect()}
+    wide = near_vectors.near_vectors(df.selectExpr("vec_id", "CAST(embedding AS array<double>) AS embedding"))
+    assert got == {r.vec_id: r.n_links for r in wide.collect()}
+    u = x.astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    true = (u @ u.T >= 0.9).sum(1) - 1
+    assert true.sum() > 40 and all(got[i] <= true[i] for i in got) and sum(got.values()) >= 0.9 * true.sum()
+
+
 def test_vectors_of_any_magnitude_and_rare_sizes(spark, monkeypatch):
     rows = [(1, [1e200, 2e200]), (2, [1e-200, 2e-200]), (3, [2e200, -1e200]), (4, [1.0, 2.0, 3.0]), (5, [1.0, 2.0, 3.5])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
