@@ -1,10 +1,12 @@
 """URL filter: rules first, then a ratio of two character language models.
 
 Models of rule-accepted and rule-rejected URLs are variable-order Markov chains over
-a folded alphabet: the order-2 estimate is smoothed by order 1, that by order 0. A
-URL's score is its mean log-likelihood difference per character, and the threshold
-is the one that separates the ruled URLs best. All of it is DataFrame functions; the
-table of differences has one row per three symbols, 40**3 at most.
+a folded alphabet: a model uses the longest context, of two, one or no symbols, that
+it has seen often enough, smoothed by the next shorter one. A URL's score is its mean
+log-likelihood difference per character. The threshold is the one that best separates
+ruled URLs that were not counted: about three in sixteen, told by the digest of the
+URL, are held out for it. All of it is DataFrame functions; the table of differences
+has one row per three symbols, 40**3 at most.
 """
 
 from __future__ import annotations
@@ -57,8 +59,16 @@ def _grams(urls: DataFrame, *more: str) -> DataFrame:
     return at.select("url", *more, F.substring("s", F.col("i"), F.lit(3)).alias("gram"))
 
 
-def _ratios(ruled: DataFrame, weight: float) -> DataFrame:
-    """gram -> log P(accepted) - log P(rejected), for every three symbols."""
+def held_out(url: Column) -> Column:
+    """Whether a URL calibrates the threshold instead of being counted."""
+    return F.md5(url) < "3"
+
+
+def _ratios(ruled: DataFrame, weight: float, least: int) -> DataFrame:
+    """gram -> log P(accepted) - log P(rejected), for every three symbols.
+
+    A context seen fewer than ``least`` times by a model is pruned from it.
+    """
     n = len(ALPHABET)
     letter = lambda k: F.substring(F.lit(ALPHABET), (F.floor(F.col("id") / n**k) % n).cast("int") + 1, F.lit(1))
     cube = ruled.sparkSession.range(n**3).select(F.concat(letter(2), letter(1), letter(0)).alias("gram"))
@@ -74,8 +84,8 @@ def _ratios(ruled: DataFrame, weight: float) -> DataFrame:
     score = {}
     for v in ("allow", "block"):
         p1 = (F.col(f"{v}_c") + 1) / (float(total[f"{v}_n"]) + n)
-        p2 = (F.col(f"{v}_bc") + weight * p1) / (F.col(f"{v}_b") + weight)
-        score[v] = F.log((F.col(v) + weight * p2) / (F.col(f"{v}_ab") + weight))
+        p2 = F.when(F.col(f"{v}_b") < least, p1).otherwise((F.col(f"{v}_bc") + weight * p1) / (F.col(f"{v}_b") + weight))
+        score[v] = F.log(F.when(F.col(f"{v}_ab") < least, p2).otherwise((F.col(v) + weight * p2) / (F.col(f"{v}_ab") + weight)))
     return wide.select("gram", (score["allow"] - score["block"]).alias("ratio"))
 
 
@@ -104,11 +114,12 @@ def _threshold(scored: DataFrame) -> float:
     return at / 100
 
 
-def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, *, weight: float = 4.0) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, *, weight: float = 4.0, least: int = 8) -> DataFrame:
     """Verdict on every row of ``pages`` (page_id, url).
 
     A fitting rule decides, the longest where several fit; else the models do: allow
-    at a score of at least the threshold. A URL without characters to score (null,
+    at a score of at least the threshold, which is 0 where no accepted or no rejected
+    URL is held out. A URL without characters to score (null,
     empty) is allowed. Rows are returned as often as they occur; other columns are
     not read.
 
@@ -122,8 +133,8 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, *, weight: flo
     base = base.withColumns({"rule": pick(lambda r: r.pattern), "ruled": pick(lambda r: r.verdict)})
     urls = keep(base.where("url is not null").select("url", F.col("ruled").alias("label")).distinct(), "url-distinct")
     ruled = urls.where("label is not null")
-    ratios = keep(_ratios(ruled, weight), "url-ratios")
-    edge = _threshold(_scores(ruled, ratios, "label"))
+    ratios = keep(_ratios(ruled.where(~held_out(F.col("url"))), weight, least), "url-ratios")
+    edge = _threshold(_scores(ruled.where(held_out(F.col("url"))), ratios, "label"))
     scores = _scores(urls.where("label is null").select("url"), ratios)
     judged = base.join(scores, "url", "left")
     verdict = F.coalesce("ruled", F.when(F.col("score") < edge, "block").otherwise("allow"))

@@ -85,7 +85,7 @@ def brute_host(url):
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in host), rest[:cut]
 
 
-def brute_urls(urls, rules, weight=4.0):
+def brute_urls(urls, rules, weight=4.0, least=8):
     """Rule, verdict by the same models in plain Python."""
     alphabet = url_filter.ALPHABET
     out, ruled = {}, {}
@@ -109,16 +109,19 @@ def brute_urls(urls, rules, weight=4.0):
         return [s[k : k + 3] for k in range(len(s) - 2)]
 
     n3 = {v: Counter() for v in ("allow", "block")}
+    held = lambda u: hashlib.md5(u.encode()).hexdigest() < "3"
     for u, v in ruled.items():
-        n3[v].update(grams(u))
+        if not held(u):
+            n3[v].update(grams(u))
 
     def logp(v, g):
         c = n3[v]
         total = sum(c.values())
         one = lambda f: sum(k for x, k in c.items() if f(x))
         p1 = (one(lambda x: x[2] == g[2]) + 1) / (total + len(alphabet))
-        p2 = (one(lambda x: x[1:] == g[1:]) + weight * p1) / (one(lambda x: x[1] == g[1]) + weight)
-        return math.log((c[g] + weight * p2) / (one(lambda x: x[:2] == g[:2]) + weight))
+        near, far = one(lambda x: x[1] == g[1]), one(lambda x: x[:2] == g[:2])
+        p2 = p1 if near < least else (one(lambda x: x[1:] == g[1:]) + weight * p1) / (near + weight)
+        return math.log(p2 if far < least else (c[g] + weight * p2) / (far + weight))
 
     score = lambda u: (lambda gs: sum(logp("allow", g) - logp("block", g) for g in gs) / len(gs) if gs else None)(grams(u))
     return out, ruled, score
