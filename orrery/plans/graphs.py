@@ -27,15 +27,9 @@ def bfs_forward(spark, d):
     return G.reach(_edges(spark, d), starts, 20)
 
 
-@query("call_edges functions", f"WITH {_E}, s AS (SELECT id AS start FROM functions WHERE module = 3), r(start, node, depth) AS (SELECT start, start, 0 FROM s UNION SELECT r.start, e.src, depth + 1 FROM r JOIN e ON e.dst = r.node WHERE depth < 3) SELECT start, node, min(depth) AS depth FROM r WHERE node <> start GROUP BY 1, 2")
-def bfs_inverse(spark, d):
-    starts = relation(spark, d, "functions").where("module = 3").select(F.col("id").alias("start"))
-    return G.reach(_edges(spark, d).select(F.col("dst").alias("src"), F.col("src").alias("dst")), starts, 3)
-
-
 @query("call_edges functions", f"WITH {_E}, s AS (SELECT DISTINCT id AS start FROM functions), r(start, node, depth) AS (SELECT start, start, 0 FROM s UNION SELECT r.start, e.src, depth + 1 FROM r JOIN e ON e.dst = r.node WHERE depth < 3) SELECT start, node, min(depth) AS depth FROM r WHERE node <> start GROUP BY 1, 2")
-def bfs_inverse_all(spark, d):
-    """``bfs_inverse`` from every function."""
+def bfs_inverse(spark, d):
+    """Callers of every function, up to three hops away."""
     starts = relation(spark, d, "functions").select(F.col("id").alias("start"))
     return G.reach(_edges(spark, d).select(F.col("dst").alias("src"), F.col("src").alias("dst")), starts, 3)
 
@@ -102,18 +96,9 @@ def _weighted(spark, d):
     return relation(spark, d, "call_edges").where("caller <> callee").select(F.col("caller").alias("src"), F.col("callee").alias("dst"), F.round(1 - F.col("confidence"), 4).alias("weight"))
 
 
-_W = "w AS (SELECT caller AS src, callee AS dst, round(1 - confidence, 4) AS weight FROM call_edges WHERE caller <> callee)"
-
-
-@query("call_edges functions", f"WITH {_W}, r(start, node, cost, hops) AS (SELECT id, id, 0.0::DOUBLE, 0 FROM functions WHERE module = 5 UNION SELECT r.start, w.dst, round(cost + weight, 6), hops + 1 FROM r JOIN w ON w.src = r.node WHERE hops < 24) SELECT start, node, round(min(cost), 6) AS cost FROM r GROUP BY 1, 2")
-def shortest_path(spark, d):
-    starts = relation(spark, d, "functions").where("module = 5").select(F.col("id").alias("start"))
-    return G.shortest_paths(_weighted(spark, d), starts, "weight").select("start", "node", r6(F.col("cost")).alias("cost"))
-
-
 @query()
-def shortest_path_all(spark, d):
-    """``shortest_path`` from every function; SQL keeps every walk, which is too slow for all starts."""
+def shortest_path(spark, d):
+    """Cheapest paths from every function; SQL keeps every walk, which is too slow for all starts."""
     starts = relation(spark, d, "functions").select(F.col("id").alias("start")).distinct()
     return G.shortest_paths(_weighted(spark, d), starts, "weight").select("start", "node", r6(F.col("cost")).alias("cost"))
 
@@ -183,25 +168,14 @@ def taint_flows(spark, d):
     return hops.join(sinks, "node").select(F.col("start").alias("source"), F.col("node").alias("sink"), F.col("depth").alias("hops"), "cwe")
 
 
-@query(
-    "call_edges functions",
-    f"""WITH {_E}, u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), s AS (SELECT id AS start, CAST(lines AS DOUBLE) / 100 AS delta FROM functions WHERE module = 11), r(start, node, depth) AS (SELECT start, start, 0 FROM s UNION SELECT r.start, u.dst, depth + 1 FROM r JOIN u ON u.src = r.node WHERE depth < 3),
-    m AS (SELECT start, node, min(depth) AS depth FROM r GROUP BY 1, 2), p AS (SELECT m.node, s.delta * power(0.5, depth) AS delta FROM m JOIN s USING (start) WHERE depth > 0)
-    SELECT node, round(sum(delta), 6) AS delta, count(*) AS sources FROM p WHERE abs(delta) >= 0.01 GROUP BY 1""",
-)
-def contradiction_propagation(spark, d):
-    s = relation(spark, d, "functions").where("module = 11").select(F.col("id").alias("start"), (F.col("lines").cast("double") / 100).alias("delta"))
-    return G.damped_propagation(_edges(spark, d), s, depth=3).select("node", r6(F.col("delta")).alias("delta"), "sources")
-
-
 @query(
     "call_edges functions",
     f"""WITH {_E}, u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), s AS (SELECT id AS start, CAST(lines AS DOUBLE) AS delta FROM functions), r(start, node, depth) AS (SELECT start, start, 0 FROM s UNION SELECT r.start, u.dst, depth + 1 FROM r JOIN u ON u.src = r.node WHERE depth < 5),
     m AS (SELECT start, node, min(depth) AS depth FROM r GROUP BY 1, 2), p AS (SELECT m.node, s.delta * power(0.5, depth) AS delta FROM m JOIN s USING (start) WHERE depth > 0)
     SELECT node, round(sum(delta) / 100, 8) AS delta, count(*) AS sources FROM p WHERE abs(delta) >= 1 GROUP BY 1""",
 )
-def contradiction_propagation_all(spark, d):
-    """``contradiction_propagation`` from every function, to the reference's five hops.
+def contradiction_propagation(spark, d):
+    """Damped influence of every function on those within five hops, either way.
 
     Summed in hundredths, whose halves are exact, so that no order of rows shows.
     """

@@ -17,20 +17,24 @@ r6 = lambda c: F.round(c, 6)
 _COS = "list_sum(list_transform(list_zip(embedding, q), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) / (sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(q, lambda x: x::DOUBLE * x::DOUBLE))))"
 
 
-def _probe(spark, d):
-    """The vector of the least id: the query of the vector searches, one row."""
-    return table(spark, d, "embeddings").agg(F.min_by("embedding", "vec_id").alias("q")).first()["q"]
+def _nearest(vectors: str) -> str:
+    return f"""WITH e AS ({vectors}), p AS (SELECT vec_id AS query, embedding AS q FROM e WHERE vec_id % 50 = 0), s AS (SELECT query, vec_id, round({_COS}, 9) AS c FROM e, p)
+    SELECT query, vec_id, round(c, 5) AS score FROM s WHERE c > 0 QUALIFY row_number() OVER (PARTITION BY query ORDER BY c DESC, vec_id) <= 10"""
 
 
-@query("", f"WITH p AS (SELECT min_by(embedding, vec_id) AS q FROM embeddings), s AS (SELECT vec_id, {_COS} AS score FROM embeddings, p) SELECT vec_id, round(score, 5) AS score FROM s WHERE score > 0 ORDER BY s.score DESC, vec_id LIMIT 10")
+def _search(vectors):
+    """Every row whose id is divisible by 50 is a query, against all rows."""
+    return M.top_k_cosine(vectors, vectors.where("vec_id % 50 = 0"), 10).withColumn("score", F.round("score", 5))
+
+
+@query("", _nearest("SELECT vec_id, embedding FROM embeddings"))
 def cosine_topk(spark, d):
-    return M.top_k_cosine(table(spark, d, "embeddings"), _probe(spark, d), 10).select("vec_id", F.round("score", 5).alias("score"))
+    return _search(table(spark, d, "embeddings").select("vec_id", "embedding"))
 
 
-@query("", f"WITH p AS (SELECT min_by(embedding, vec_id)[1:16] AS q FROM embeddings), e AS (SELECT vec_id, embedding[1:16] AS embedding FROM embeddings), s AS (SELECT vec_id, {_COS} AS score FROM e, p) SELECT vec_id, round(score, 5) AS score FROM s WHERE score > 0 ORDER BY s.score DESC, vec_id LIMIT 10")
+@query("", _nearest("SELECT vec_id, embedding[1:16] AS embedding FROM embeddings"))
 def matryoshka_topk(spark, d):
-    v = table(spark, d, "embeddings").select("vec_id", S.matryoshka(F.col("embedding"), 16).alias("embedding"))
-    return M.top_k_cosine(v, _probe(spark, d)[:16], 10).select("vec_id", F.round("score", 5).alias("score"))
+    return _search(table(spark, d, "embeddings").select("vec_id", S.matryoshka(F.col("embedding"), 16).alias("embedding")))
 
 
 @query("", "WITH c AS (SELECT label, avg(embedding[1]) AS a, avg(embedding[2]) AS b, count(*) AS n FROM embeddings GROUP BY 1) SELECT label, n, round(a, 5) AS a, round(b, 5) AS b FROM c")

@@ -261,3 +261,21 @@ def test_pattern_guards_lose_nothing(spark):
     for r, t in zip(sorted(got), texts):
         assert {p.name: r[p.name] for p in text.PATTERNS} == {p.name: len(re.findall(p.regex, t)) for p in text.PATTERNS}
     assert all(any(r[p.name] for r in got) for p in text.PATTERNS)
+
+
+def test_top_k_cosine_of_many_queries(spark):
+    """Against brute force, with copies, unusable vectors and runs that differ from the partitions."""
+    rng = np.random.default_rng(4)
+    x = {k: [float(v) for v in rng.normal(size=6)] for k in range(120)}
+    x |= {120: x[3], 121: [v * 1e200 for v in x[3]], 122: [v * 1e-200 for v in x[50]]}
+    bad = [(130, None), (131, [0.0] * 6), (132, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (133, [float("nan")] * 6), (150, [float("inf")] * 6)]
+    df = spark.createDataFrame([*x.items(), *bad], "vec_id bigint, embedding array<double>").repartition(5)
+    unit = {k: np.array(v) / np.abs(v).max() for k, v in x.items()}
+    unit = {k: v / np.linalg.norm(v) for k, v in unit.items()}
+    want = set()
+    for q in (0, 50, 100):
+        best = sorted((-round(float(unit[q] @ v), 9), k) for k, v in unit.items())
+        want |= {(q, k, -s) for s, k in best[:10] if s < 0}
+    got = similarity.top_k_cosine(df, df.where("vec_id % 50 = 0"), 10).collect()
+    assert {(r.query, r.vec_id, round(r.score, 8)) for r in got} == {(q, k, round(s, 8)) for q, k, s in want}
+    assert similarity.top_k_cosine(df.where("false"), df, 10).count() == 0

@@ -52,7 +52,7 @@ def test_graph_queries_start_everywhere(spark, tmp_path):
         return {n: k for n, k in seen.items() if k}
 
     inverse = {(k, n, depth) for k in keys for n, depth in hops(back, k, 3).items()}
-    assert {(r.start, r.node, r.depth) for r in QUERIES["bfs_inverse_all"](spark, str(tmp_path)).collect()} == inverse
+    assert {(r.start, r.node, r.depth) for r in QUERIES["bfs_inverse"](spark, str(tmp_path)).collect()} == inverse
 
     cheapest = {}
     for k in keys:
@@ -63,7 +63,7 @@ def test_graph_queries_start_everywhere(spark, tmp_path):
                 cheapest[k, n] = round(cost, 6)
                 for m, w in out[n].items():
                     heapq.heappush(heap, (cost + w, m))
-    assert {(r.start, r.node): r.cost for r in QUERIES["shortest_path_all"](spark, str(tmp_path)).collect()} == pytest.approx(cheapest)
+    assert {(r.start, r.node): r.cost for r in QUERIES["shortest_path"](spark, str(tmp_path)).collect()} == pytest.approx(cheapest)
 
     want, far = defaultdict(list), 0
     for k in keys:
@@ -72,6 +72,6 @@ def test_graph_queries_start_everywhere(spark, tmp_path):
             if delta >= 0.01:
                 want[n].append(delta)
                 far += depth > 3
-    got = {r.node: (r.delta, r.sources) for r in QUERIES["contradiction_propagation_all"](spark, str(tmp_path)).collect()}
+    got = {r.node: (r.delta, r.sources) for r in QUERIES["contradiction_propagation"](spark, str(tmp_path)).collect()}
     assert far and set(got) == set(want)
     assert all(got[n] == (pytest.approx(sum(x), abs=1e-6), len(x)) for n, x in want.items())
