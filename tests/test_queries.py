@@ -75,3 +75,16 @@ def test_graph_queries_start_everywhere(spark, tmp_path):
     got = {r.node: (r.delta, r.sources) for r in QUERIES["contradiction_propagation"](spark, str(tmp_path)).collect()}
     assert far and set(got) == set(want)
     assert all(got[n] == (pytest.approx(sum(x), abs=1e-6), len(x)) for n, x in want.items())
+
+
+def test_auto_approve_at_its_thresholds(spark, tmp_path):
+    """Files whose confidence is .90 or .70 exactly, whatever their number of lines."""
+    rows = []
+    for file, (n, new) in enumerate([(n, part * n // 4) for n in range(4, 84, 4) for part in (1, 3)]):
+        rows += [(file, k, file, 1, "N", "O", 0.06 if k < new else 0.01, 1.0) for k in range(n)]
+    df = spark.createDataFrame(rows, "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_returnflag string, l_linestatus string, l_discount double, l_extendedprice double")
+    df.selectExpr("*", "timestamp '2024-01-01' as l_shipdate").coalesce(1).write.parquet(f"{tmp_path}/out")
+    next(tmp_path.glob("out/*.parquet")).rename(tmp_path / "lineitem.parquet")
+    got = QUERIES["auto_approve"](spark, str(tmp_path))
+    assert {r.verdict: r.files for r in got.collect()} == {"approve": 20, "review": 20}
+    assert oracle.differences(got, oracle.connect(str(tmp_path)), ORACLES["auto_approve"]) == ""
