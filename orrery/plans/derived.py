@@ -374,8 +374,8 @@ def cycle_safe_insert(spark, d):
     """Proposed edges, refused where the target already reaches the source."""
     e = G.clean_edges(relation(spark, d, "call_edges"), "caller", "callee")
     p = e.where("src % 5 = 0").select(F.col("dst").alias("source"), F.col("src").alias("target")).union(e.select("src", F.col("src") + 1)).distinct().where("source <> target")
-    closing = G.reach(e, p.select(F.col("target").alias("start"))).select(F.col("start").alias("target"), F.col("node").alias("source"), F.lit(True).alias("closes"))
-    return p.join(closing, ["source", "target"], "left").select("source", "target", F.col("closes").isNull().alias("accepted"))
+    closing = G.reached_pairs(e, p.select(F.col("target").alias("start"), F.col("source").alias("node")))
+    return closing.select(F.col("node").alias("source"), F.col("start").alias("target"), (~F.col("reached")).alias("accepted"))
 
 
 @query("call_edges functions", "WITH RECURSIVE e AS (SELECT DISTINCT caller AS src, callee AS dst FROM call_edges WHERE caller <> callee), r(start, node) AS (SELECT src, dst FROM e UNION SELECT r.start, e.dst FROM r JOIN e ON e.src = r.node) SELECT f.id AS removed, count(DISTINCT r.node) AS affected FROM functions AS f JOIN r ON r.start = f.id AND r.node <> f.id WHERE f.is_entry GROUP BY 1")

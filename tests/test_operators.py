@@ -279,3 +279,33 @@ def test_top_k_cosine_of_many_queries(spark):
     got = similarity.top_k_cosine(df, df.where("vec_id % 50 = 0"), 10).collect()
     assert {(r.query, r.vec_id, round(r.score, 8)) for r in got} == {(q, k, round(s, 8)) for q, k, s in want}
     assert similarity.top_k_cosine(df.where("false"), df, 10).count() == 0
+
+
+def test_reached_pairs_equal_brute_force(spark, monkeypatch):
+    """With cycles and without, chains beyond the ranks, halved blocks, unknown ids; by blocks and by joins, which send nothing to every worker."""
+    from orrery.operators import blocked
+
+    rng = np.random.default_rng(9)
+    drawn = [(int(a), int(b)) for a, b in rng.integers(0, 50, (75, 2)) if a != b]
+    chain = [(100 + k, 101 + k) for k in range(12)]
+    pairs = sorted({(int(a), int(b)) for a, b in rng.integers(0, 52, (500, 2))} | {(100, k) for k in range(90, 113)} | {(112, 100), (7, 7)})
+    by_blocks, by_joins = [(4_000_000, 1000, 8_000_000), (4_000_000, 5, 20)], [(-1, 5, 20)]
+    for given, ways in (([(a, b) for a, b in drawn if a < b and b % 3], by_blocks + by_joins), (drawn + chain + [(112, 100)], by_blocks + by_joins), (drawn + chain, by_blocks), ([], by_blocks)):
+        out = {a: {y for x, y in given if x == a} for a, _ in given}
+        want = {}
+        for a in {a for a, _ in pairs}:
+            below, todo = set(), [a]
+            while todo:
+                new = out.get(todo.pop(), set()) - below
+                below |= new
+                todo += new
+            want |= {(a, b): b in below and a != b for x, b in pairs if x == a}
+        e, p = spark.createDataFrame(given, "src bigint, dst bigint"), spark.createDataFrame(pairs + pairs[:9], "start bigint, node bigint")
+        for edges_sent, ranks, most_pairs in ways:
+            monkeypatch.setattr(blocked, "MOST_EDGES", edges_sent)
+            monkeypatch.setattr(blocked, "MOST_RANKS", ranks)
+            monkeypatch.setattr(blocked, "MOST_PAIRS", most_pairs)
+            df = graph.reached_pairs(e, p)
+            got = df.collect()
+            assert len(got) == len(want) and {(r.start, r.node): r.reached for r in got} == want
+            assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()

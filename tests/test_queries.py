@@ -88,3 +88,8 @@ def test_auto_approve_at_its_thresholds(spark, tmp_path):
     got = QUERIES["auto_approve"](spark, str(tmp_path))
     assert {r.verdict: r.files for r in got.collect()} == {"approve": 20, "review": 20}
     assert oracle.differences(got, oracle.connect(str(tmp_path)), ORACLES["auto_approve"]) == ""
+
+
+def test_cycle_safe_insert_sends_no_closure_to_all(spark):
+    """The planner takes the rows of a search for few; none of them is broadcast."""
+    assert "Broadcast" not in QUERIES["cycle_safe_insert"](spark, SF)._jdf.queryExecution().executedPlan().toString()
